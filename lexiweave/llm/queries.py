@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import load
+from .leakage import leaked_passages
 from .neighbours import nearest_vectors, unit_vectors
 
 
@@ -26,7 +27,31 @@ def p1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select(F.col("id").alias("w_id"), F.col("neighbour").alias("similar_w_id"), F.round("cosine", 6).alias("cosine"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = load(spark, sf_dir, "documents"), load(spark, sf_dir, "eval_items")
+    return leaked_passages(docs, items, "doc_id", "text", "item_id", ["context", "question"])
+
+
+def p6_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every test item with the number of documents that hold a passage of it."""
+    items = load(spark, sf_dir, "eval_items").select(F.col("item_id").cast("bigint").alias("item_id"), "benchmark")
+    n = p6_found(spark, sf_dir).groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
+    return items.join(n, "item_id", "left").select("item_id", "benchmark", F.coalesce("n", F.lit(0)).alias("n_documents"))
+
+
+_WORDS_SQL = r"regexp_extract_all(replace(strip_accents(lower({0})), 'ł', 'l'), '[\p{{L}}\p{{N}}]+')"
+P6_FOUND_SQL = f"""
+WITH d AS (SELECT doc_id, {_WORDS_SQL.format('text')} w FROM documents),
+p AS (SELECT item_id, {_WORDS_SQL.format('context')} w FROM eval_items UNION ALL SELECT item_id, {_WORDS_SQL.format('question')} FROM eval_items),
+dw AS (SELECT doc_id, array_to_string(w[i:i + 11], ' ') k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) i FROM d WHERE len(w) >= 12)),
+pw AS (SELECT item_id, array_to_string(w[i:i + 11], ' ') k FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) i FROM p WHERE len(w) >= 12))
+SELECT DISTINCT doc_id, CAST(item_id AS BIGINT) AS item_id FROM dw JOIN pw USING (k)"""
+P6_ITEMS_SQL = f"""SELECT CAST(i.item_id AS BIGINT) AS item_id, benchmark, count(f.doc_id) AS n_documents
+FROM eval_items i LEFT JOIN ({P6_FOUND_SQL}) f ON f.item_id = i.item_id GROUP BY ALL"""
+
 QUERIES = {
     "p1_found": (p1_found, None),
     "p1_neighbours": (p1_neighbours, None),
+    "p6_found": (p6_found, P6_FOUND_SQL),
+    "p6_items": (p6_items, P6_ITEMS_SQL),
 }
