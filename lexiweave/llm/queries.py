@@ -9,6 +9,8 @@ from ..session import load
 from .leakage import leaked_passages
 from .neighbours import nearest_vectors, unit_vectors
 
+from .pii import personal_information
+
 
 def similar_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, neighbour, cosine): the 5 most similar other words of every word with a usable vector."""
@@ -49,9 +51,23 @@ SELECT DISTINCT doc_id, CAST(item_id AS BIGINT) AS item_id FROM dw JOIN pw USING
 P6_ITEMS_SQL = f"""SELECT CAST(i.item_id AS BIGINT) AS item_id, benchmark, count(f.doc_id) AS n_documents
 FROM eval_items i LEFT JOIN ({P6_FOUND_SQL}) f ON f.item_id = i.item_id GROUP BY ALL"""
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_information(load(spark, sf_dir, "documents"), "doc_id", "text")
+    rows = found.select("doc_id", F.explode("found").alias("x"))
+    return rows.select("doc_id", F.col("x.kind").alias("pii_type"), F.col("x.passage").alias("pii_text")).distinct()
+
+
+def p8_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its text redacted and the number of passages replaced."""
+    found = personal_information(load(spark, sf_dir, "documents"), "doc_id", "text")
+    return found.select("doc_id", F.size("found").alias("n_passages"), "redacted")
+
+
 QUERIES = {
     "p1_found": (p1_found, None),
     "p1_neighbours": (p1_neighbours, None),
     "p6_found": (p6_found, P6_FOUND_SQL),
     "p6_items": (p6_items, P6_ITEMS_SQL),
+    "p8_found": (p8_found, None),
+    "p8_redacted": (p8_redacted, None),
 }
