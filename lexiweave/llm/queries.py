@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.titles import canonical_title
 from ..session import load
 from .leakage import leaked_passages
 from .neighbours import nearest_vectors, unit_vectors
 
 from .pii import personal_information
+from .subjects import subject_areas
 
 
 def similar_words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +31,30 @@ def p1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select(F.col("id").alias("w_id"), F.col("neighbour").alias("similar_w_id"), F.round("cosine", 6).alias("cosine"))
 
 
+def article_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, page_id, text): the documents, and the lines of the other articles, repeated lines once."""
+    cols = [F.col("doc_id"), F.col("page_id").cast("bigint").alias("page_id")]
+    docs = load(spark, sf_dir, "documents").select(*cols, "text")
+    lines = load(spark, sf_dir, "article_lines").dropDuplicates(["doc_id", "line_no", "value"])
+    return docs.unionByName(lines.select(*cols, F.col("value").alias("text")))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = load(spark, sf_dir, "categorylinks").filter("cl_from is not null and cl_to is not null")
+    pages = links.select(F.col("cl_from").cast("bigint").alias("page_id"), canonical_title(F.col("cl_to")).alias("title"))
+    found, _ = subject_areas(
+        article_texts(spark, sf_dir), load(spark, sf_dir, "doc_labels"), load(spark, sf_dir, "subjects"), pages
+    )
+    return found
+
+
+def p2_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of each subject in the corpus; a document of two subjects counts for both."""
+    n = article_texts(spark, sf_dir).agg(F.countDistinct("doc_id").alias("n_all"))
+    counts = p2_found(spark, sf_dir).groupBy("subject").agg(F.count(F.lit(1)).alias("n_documents"))
+    return counts.join(F.broadcast(n)).select("subject", "n_documents", (F.col("n_documents") / F.col("n_all")).alias("share"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = load(spark, sf_dir, "documents"), load(spark, sf_dir, "eval_items")
     return leaked_passages(docs, items, "doc_id", "text", "item_id", ["context", "question"])
@@ -66,6 +92,8 @@ def p8_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p1_found": (p1_found, None),
     "p1_neighbours": (p1_neighbours, None),
+    "p2_found": (p2_found, None),
+    "p2_composition": (p2_composition, None),
     "p6_found": (p6_found, P6_FOUND_SQL),
     "p6_items": (p6_items, P6_ITEMS_SQL),
     "p8_found": (p8_found, None),
