@@ -62,6 +62,12 @@ def sentence_words(df: DataFrame, text: str) -> DataFrame:
     return s.filter(F.size("words") >= 3)
 
 
+def title_words(df: DataFrame, title: str) -> DataFrame:
+    """df's columns and ``words`` of the titles of categories; those that only serve upkeep are left out."""
+    d = df.withColumn("words", F.regexp_extract_all(F.lower(title), F.lit(WORD), F.lit(0)))
+    return d.filter((F.size("words") > 0) & ~F.try_element_at("words", F.lit(1)).isin(UPKEEP))
+
+
 def word_rows(texts: DataFrame, text: str) -> DataFrame:
     """(word, df): in how many rows of texts each word occurs."""
     words = F.array_distinct(F.regexp_extract_all(F.lower(clean(F.col(text))), F.lit(WORD), F.lit(0)))
@@ -250,22 +256,28 @@ def subject_areas(
     counts = word_rows(texts, "text")
     n_rows = texts.count()
     least = max(3, min(20, n_rows // 500))
-    vocabulary = [r[0] for r in counts.filter(F.col("df") >= least).orderBy(F.desc("df"), "word").limit(s.words).collect()]
+    pages = categories.filter("page_id is not null and title <> ''")
+    all_titles = cut(pages.select("title").distinct(), "titles")
+    least_titles = max(3, min(20, all_titles.count() // 500))
+    known = counts.filter(F.col("df") >= least).unionByName(word_rows(all_titles, "title").filter(F.col("df") >= least_titles))
+    known = known.groupBy("word").agg(F.sum("df").alias("df")).orderBy(F.desc("df"), "word").limit(s.words)
+    vocabulary = [r[0] for r in known.collect()]
     number = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.lit(i))]) if names else None
     labelled = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.collect_set("subject").alias("own"))
     labelled = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.labelled)
     numbers = F.filter(F.transform("own", lambda x: F.try_element_at(number, x)), lambda x: x.isNotNull()) if names else F.array().cast("array<int>")
-    sample = texts.select("doc_id", "text").join(F.broadcast(labelled.select("doc_id", numbers.alias("targets"))), "doc_id")
-    model = train(sentence_words(sample, "text").select("words", "targets"), vocabulary, names, s)
+    targets = F.broadcast(cut(labelled.select("doc_id", numbers.alias("targets")), "labels"))
+    sample = texts.join(targets, "doc_id")
+    titled = sample.select("doc_id", "page_id", "targets").distinct().join(pages, "page_id").select("doc_id", "title", "targets").distinct()
+    sample = sentence_words(sample.select("text", "targets"), "text").select("words", "targets").unionByName(title_words(titled, "title").select("words", "targets"))
+    model = train(sample, vocabulary, names, s)
 
     found = score(sentence_words(texts.select("doc_id", "text"), "text"), model, s.accept).filter("subject is not null")
     per = found.groupBy("doc_id", "subject").agg(F.count(F.lit(1)).alias("n"))
     per = cut(per.groupBy("doc_id").agg(F.sum("n").alias("all"), F.collect_list(F.struct("subject", "n")).alias("by")), "subjects")
     by_text = per.select("doc_id", "all", F.explode("by").alias("x")).filter(F.col("x.n") >= F.col("all") * s.share).select("doc_id", "x.subject")
     open_docs = texts.select("doc_id", "page_id").distinct().join(per.select("doc_id"), "doc_id", "left_anti")
-    titles = open_docs.join(categories, "page_id").select("doc_id", "title").distinct()
-    titles = titles.withColumn("words", F.regexp_extract_all(F.lower("title"), F.lit(WORD), F.lit(0)))
-    titles = titles.filter((F.size("words") > 0) & ~F.col("words")[0].isin(UPKEEP)).select("doc_id", "words")
+    titles = title_words(open_docs.join(pages, "page_id").select("doc_id", "title").distinct(), "title").select("doc_id", "words")
     votes = score(titles, model, s.accept).filter("subject is not null").groupBy("doc_id", "subject").agg(F.count(F.lit(1)).alias("n"))
     most = votes.groupBy("doc_id").agg(F.collect_list(F.struct("subject", "n")).alias("by"), F.max("n").alias("most"))
     by_page = most.select("doc_id", "most", F.explode("by").alias("x")).filter("x.n = most").select("doc_id", "x.subject")
