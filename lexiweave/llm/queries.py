@@ -8,11 +8,15 @@ from pyspark.sql import functions as F
 from ..functions.titles import canonical_title
 from ..session import load
 from .leakage import leaked_passages
+from .mixing import Mix, count_tokens, mix_sources
 from .neighbours import nearest_vectors, unit_vectors
 
 from .pii import personal_information
 from .subjects import subject_areas
 
+#: The tokenizer file that counts tokens; pass another path on a cluster where it lies elsewhere.
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+
 
 def similar_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, neighbour, cosine): the 5 most similar other words of every word with a usable vector."""
@@ -77,6 +81,19 @@ SELECT DISTINCT doc_id, CAST(item_id AS BIGINT) AS item_id FROM dw JOIN pw USING
 P6_ITEMS_SQL = f"""SELECT CAST(i.item_id AS BIGINT) AS item_id, benchmark, count(f.doc_id) AS n_documents
 FROM eval_items i LEFT JOIN ({P6_FOUND_SQL}) f ON f.item_id = i.item_id GROUP BY ALL"""
 
+def corpus_mix(spark: SparkSession, sf_dir: str, tokenizer: str = TOKENIZER) -> Mix:
+    docs = count_tokens(load(spark, sf_dir, "documents").select("doc_id", "source", "text"), "text", tokenizer)
+    return mix_sources(docs, load(spark, sf_dir, "mix_targets"))
+
+
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_mix(spark, sf_dir).rows
+
+
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_mix(spark, sf_dir).report
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = personal_information(load(spark, sf_dir, "documents"), "doc_id", "text")
     rows = found.select("doc_id", F.explode("found").alias("x"))
@@ -96,6 +113,8 @@ QUERIES = {
     "p2_composition": (p2_composition, None),
     "p6_found": (p6_found, P6_FOUND_SQL),
     "p6_items": (p6_items, P6_ITEMS_SQL),
+    "p7_mix": (p7_mix, None),
+    "p7_report": (p7_report, None),
     "p8_found": (p8_found, None),
     "p8_redacted": (p8_redacted, None),
 }
