@@ -5,6 +5,6 @@ from __future__ import annotations
 
 def core_queries() -> dict:
     """name -> (query, SQL or None) of all queries of the core."""
-    from . import links
+    from . import articles, links
 
-    return dict(links.QUERIES)
+    return {**articles.QUERIES, **links.QUERIES}
