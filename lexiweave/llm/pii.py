@@ -86,6 +86,43 @@ class Rule:
     pattern: re.Pattern
     score: float
     check: Callable[[str], float] = lambda s: 0.0
+    anchor: str = "number"
+
+
+#: What any match of a rule with this anchor must hold, found by one cheap pass, and how far the match may
+#: reach before and after it. Rules are tried only there.
+ANCHORS = {
+    "at": (re.compile(r"@|[\[(](?:at|małpa)[\])]"), 80, 200),
+    "number": (re.compile(r"\d(?:[ .()/-]{0,3}\d){6,}"), 16, 16),
+    "code": (re.compile(r"[A-Z]{2,3} ?\d"), 2, 48),
+    "ulica": (re.compile(r"(?i)(?:ul\.|al\.|pl\.|os\.|ulica|aleja|aleje|plac|osiedle) "), 2, 160),
+    "street": (re.compile(r"(?i) (?:Street|Road|Lane|Avenue|Close|Drive|Way|Square|Court|Terrace|Place|Crescent|St\.|Rd\.|Ave\.)"), 120, 80),
+    "straße": (re.compile(r"(?i)(?:straße|strasse|str\.|weg|gasse|allee|platz|ring|damm) \d"), 40, 80),
+}
+
+
+#: Anchors that are worth a pass only if the text, in lower case, holds one of these.
+HINTS = {
+    "at": ("@", "at]", "at)", "małpa"),
+    "ulica": ("ul. ", "al. ", "pl. ", "os. ", "ulica ", "aleja ", "aleje ", "plac ", "osiedle "),
+    "street": (" street", " road", " lane", " avenue", " close", " drive", " way", " square", " court", " terrace", " place", " crescent", " st.", " rd.", " ave."),
+    "straße": ("straße ", "strasse ", "str. ", "weg ", "gasse ", "allee ", "platz ", "ring ", "damm "),
+}
+
+
+def _spans(anchor: str, text: str, low: str) -> list[tuple[int, int]]:
+    """Where rules with the anchor may match; overlapping places are one."""
+    pattern, before, after = ANCHORS[anchor]
+    out: list[tuple[int, int]] = []
+    if anchor in HINTS and not any(h in low for h in HINTS[anchor]):
+        return out
+    for m in pattern.finditer(text):
+        a, b = max(0, m.start() - before), min(len(text), m.end() + after)
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], b)
+        else:
+            out.append((a, b))
+    return out
 
 
 def _rules() -> list[Rule]:
@@ -97,7 +134,7 @@ def _rules() -> list[Rule]:
     lone = rf"(?:, (?!(?:Tel|Fax|Kom|Nr|Str)\b){town}(?= *(?:[.,;<\[\n)]|[–-](?:\s|$)|$)| (?![–-])[{UP}]))?"
     street = rf"(?:\d{{1,2}} )?{CAP}(?: {CAP})?"
     return [
-        Rule("email", c(rf"(?<![\w.+@=/-])[\w][\w.+-]*{at}[\w-]+(?:{dot}[\w-]+)*{dot}[A-Za-z]{{2,}}(?![\w@])"), 0.9),
+        Rule("email", c(rf"(?<![\w.+@=/-])[\w][\w.+-]*{at}[\w-]+(?:{dot}[\w-]+)*{dot}[A-Za-z]{{2,}}(?![\w@])"), 0.9, anchor="at"),
         Rule("phone", c(r"(?<![\w+.])(?:\+48|0048|\(\+48\)|\(0048\))[ .-]?(?:\d{3}[ .-]?\d{3}[ .-]?\d{3}|\d{2}[ .-]?\d{3}[ .-]?\d{2}[ .-]?\d{2})(?![\w-]*\d)"), 0.8),
         Rule("phone", c(r"(?<![\w.-])\d{3}([ -])\d{3}\1\d{3}(?![ .-]?\d)(?!\w)"), 0.5),
         Rule("phone", c(r"(?<![\w.)-])(?:\(0?\d{2}\)|0\d{2}) ?\d{3}[ -]\d{2}[ -]\d{2}(?![ .-]?\d)(?!\w)"), 0.6),
@@ -112,15 +149,15 @@ def _rules() -> list[Rule]:
         Rule("id_number", c(r"(?<![\w.+/=-])\d{3}-\d{3}-\d{2}-\d{2}(?![\w-])"), 0.5, lambda s: 0.3 if nip_ok(s) else -0.1),
         Rule("id_number", c(r"(?<![\w.+/=-])\d{3}-\d{2}-\d{2}-\d{3}(?![\w-])"), 0.4, lambda s: 0.3 if nip_ok(s) else -0.1),
         Rule("id_number", c(r"(?<![\w.+/=-])\d{10}(?![\w-])"), 0.0, lambda s: 0.15 if nip_ok(s) else 0),
-        Rule("id_number", c(r"(?<![\w.+/=-])[A-Z]{3} ?\d{6}(?![\w-])"), 0.5, lambda s: 0.3 if identity_card_ok(s) else 0),
+        Rule("id_number", c(r"(?<![\w.+/=-])[A-Z]{3} ?\d{6}(?![\w-])"), 0.5, lambda s: 0.3 if identity_card_ok(s) else 0, anchor="code"),
         Rule("id_number", c(r"(?<![\w.+/=-])\d{3}([ -])\d{2}\1\d{4}(?![\w-])"), 0.5),
-        Rule("id_number", c(r"(?<![\w.+/=-])[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D Z](?![\w-])"), 0.6),
-        Rule("id_number", c(r"(?<![\w.+/=-])[A-Z]{2} ?\d{3} ?\d{4}(?![\w-])"), 0.4),
-        Rule("id_number", c(r"(?<![\w.+/=-])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\w-])"), 0.0, lambda s: 0.8 if mod97_ok(s) else 0),
+        Rule("id_number", c(r"(?<![\w.+/=-])[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D Z](?![\w-])"), 0.6, anchor="code"),
+        Rule("id_number", c(r"(?<![\w.+/=-])[A-Z]{2} ?\d{3} ?\d{4}(?![\w-])"), 0.4, anchor="code"),
+        Rule("id_number", c(r"(?<![\w.+/=-])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\w-])"), 0.0, lambda s: 0.8 if mod97_ok(s) else 0, anchor="code"),
         Rule("id_number", c(r"(?<![\w.+/=-])\d{4}([ -]?)\d{4}\1\d{4}\1\d{1,7}(?![\w-])"), 0.0, lambda s: 0.6 if luhn_ok(s) else 0),
-        Rule("address", c(rf"{NOT_IN_WORD}(?i:ul\.|al\.|pl\.|os\.|ulica|aleja|aleje|plac|osiedle) {street} \d+[a-zA-Z]?\b(?:/\d+[a-z]?)?(?: (?:m\.|lok\.|/) ?\d+[a-z]?)?(?:, \d{{2}}-\d{{3}} {town}|{lone})"), 0.9),
-        Rule("address", c(rf"{NOT_IN_WORD}(?:(?i:Apt|Flat|Suite|Unit)\.? \w+, )?\d{{1,4}}[a-zA-Z]? {CAP}(?: {CAP}){{0,2}} (?i:Street|Road|Lane|Avenue|Close|Drive|Way|Square|Court|Terrace|Place|Crescent|St\.|Rd\.|Ave\.)(?:, {town}, [A-Z]{{1,2}}\d[\dA-Z]? \d[A-Z]{{2}}|, {town},? [A-Z]{{2}} \d{{5}}|{lone})"), 0.65, lambda s: -0.2 if s.isupper() else 0),
-        Rule("address", c(rf"{NOT_IN_WORD}{CAP}(?i:straße|strasse|str\.|weg|gasse|allee|platz|ring|damm) \d+[a-z]?\b(?:, \d{{5}} {town}|{lone})"), 0.8),
+        Rule("address", c(rf"{NOT_IN_WORD}(?i:ul\.|al\.|pl\.|os\.|ulica|aleja|aleje|plac|osiedle) {street} \d+[a-zA-Z]?\b(?:/\d+[a-z]?)?(?: (?:m\.|lok\.|/) ?\d+[a-z]?)?(?:, \d{{2}}-\d{{3}} {town}|{lone})"), 0.9, anchor="ulica"),
+        Rule("address", c(rf"{NOT_IN_WORD}(?:(?i:Apt|Flat|Suite|Unit)\.? \w+, )?\d{{1,4}}[a-zA-Z]? {CAP}(?: {CAP}){{0,2}} (?i:Street|Road|Lane|Avenue|Close|Drive|Way|Square|Court|Terrace|Place|Crescent|St\.|Rd\.|Ave\.)(?:, {town}, [A-Z]{{1,2}}\d[\dA-Z]? \d[A-Z]{{2}}|, {town},? [A-Z]{{2}} \d{{5}}|{lone})"), 0.65, lambda s: -0.2 if s.isupper() else 0, anchor="street"),
+        Rule("address", c(rf"{NOT_IN_WORD}{CAP}(?i:straße|strasse|str\.|weg|gasse|allee|platz|ring|damm) \d+[a-z]?\b(?:, \d{{5}} {town}|{lone})"), 0.8, anchor="straße"),
     ]
 
 
@@ -165,9 +202,39 @@ def _name_score(text: str, start: int, end: int) -> float:
     return score
 
 
-def _names(text: str) -> Iterator[tuple[int, int, float]]:
-    at = 0
-    while m := PAIR.search(text, at):
+#: A name has a given name or an initial, or stands at a label; how far it may reach from there.
+CAPITALISED = re.compile(rf"(?<!\w)[{UP}]\w+")
+WORDS = re.compile(r"\w+")
+INITIAL = re.compile(r"\b[^\W\d_]\.")
+LABELS = (
+    "przez:", "nadesłał", "podpisa", "udzielił", "autor:", "signed:", "sent in by", "checked by", "written by", "unterschrift:",
+    "eingesandt von", "geprüft von", "~~~~", "(dyskusja", "(talk", "(diskussion", "(maintainer", "– opiekun", "- opiekun", "betreut diese",
+)
+REACH = 90
+
+
+def _names(text: str, low: str) -> Iterator[tuple[int, int, float]]:
+    places = []
+    if not GIVEN.isdisjoint(WORDS.findall(low)):
+        places = [m.start() for m in CAPITALISED.finditer(text) if m[0].lower() in GIVEN]
+    places += [m.start() for m in INITIAL.finditer(text) if text[m.start()].isupper()]
+    for w in LABELS:
+        at = low.find(w)
+        while at >= 0:
+            places.append(at)
+            at = low.find(w, at + 1)
+    spans: list[list[int]] = []
+    for p in sorted(places):
+        if spans and p - REACH <= spans[-1][1]:
+            spans[-1][1] = p + REACH
+        else:
+            spans.append([max(0, p - REACH), p + REACH])
+    for a, b in spans:
+        yield from _names_in(text, a, b)
+
+
+def _names_in(text: str, at: int, stop: int) -> Iterator[tuple[int, int, float]]:
+    while m := PAIR.search(text, at, stop):
         start, end, best = m.start(), m.end(), None
         # a match may carry a capitalised word too many at either end
         bounds = {(start, end)}
@@ -184,10 +251,14 @@ def _names(text: str) -> Iterator[tuple[int, int, float]]:
 
 def find(text: str, threshold: float = 0.6, rules: list[Rule] | None = None) -> list[tuple[int, int, str, float]]:
     """(start, end, kind, score) of the personal information in a text, in order, without overlaps."""
-    found = [(a, b, "name", s) for a, b, s in _names(text)]
-    urls = [m.span() for m in URL.finditer(text)] if "/" in text or "www" in text.lower() else []
+    low = text.lower()
+    if len(low) != len(text):  # a few letters become two
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    found = [(a, b, "name", s) for a, b, s in _names(text, low)]
+    urls = [m.span() for m in URL.finditer(text)] if "://" in low or "www." in low else []
+    spans = {k: _spans(k, text, low) for k in ANCHORS}
     for r in rules or RULES:
-        for m in r.pattern.finditer(text):
+        for m in (m for x, y in spans[r.anchor] for m in r.pattern.finditer(text, x, y)):
             a, b = m.span()
             if r.kind != "email" and any(x <= a < y for x, y in urls):
                 continue
