@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.titles import canonical_title
 from ..session import load
 from .leakage import leaked_passages
 from .mixing import Mix, count_tokens, mix_sources
@@ -45,7 +44,7 @@ def article_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     links = load(spark, sf_dir, "categorylinks").filter("cl_from is not null and cl_to is not null")
-    pages = links.select(F.col("cl_from").cast("bigint").alias("page_id"), canonical_title(F.col("cl_to")).alias("title"))
+    pages = links.select(F.col("cl_from").cast("bigint").alias("page_id"), F.col("cl_to").alias("title"))
     found, _ = subject_areas(
         article_texts(spark, sf_dir), load(spark, sf_dir, "doc_labels"), load(spark, sf_dir, "subjects"), pages
     )

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.titles import canonical_title
 from ..session import cut
 
 WORD = r"\p{L}{2,}"
@@ -243,7 +244,7 @@ def subject_areas(
 
     texts: (doc_id, page_id, text), whole articles or their lines, with as many rows of one doc_id as
     there are lines; the caller drops repeated lines. labels: (doc_id, subject), null for "none".
-    subjects: (subject). categories: (page_id, title) of the links of each page, titles canonical.
+    subjects: (subject). categories: (page_id, title) of the links of each page, titles in any spelling.
 
     A text without subject-related sentences has the subject most of its page's categories have (all
     of those that tie); categories that only serve upkeep and unknown words have none, and such a text
@@ -257,7 +258,9 @@ def subject_areas(
     n_rows = texts.count()
     least = max(3, min(20, n_rows // 500))
     pages = categories.filter("page_id is not null and title <> ''")
-    all_titles = cut(pages.select("title").distinct(), "titles")
+    canonical = lambda d: d.withColumn("title", canonical_title(F.col("title"))).distinct()
+    # titles are made canonical only after the links are reduced to distinct spellings or to the pages in question
+    all_titles = cut(canonical(pages.select("title").distinct()), "titles")
     least_titles = max(3, min(20, all_titles.count() // 500))
     known = counts.filter(F.col("df") >= least).unionByName(word_rows(all_titles, "title").filter(F.col("df") >= least_titles))
     known = known.groupBy("word").agg(F.sum("df").alias("df")).orderBy(F.desc("df"), "word").limit(s.words)
@@ -268,7 +271,8 @@ def subject_areas(
     numbers = F.filter(F.transform("own", lambda x: F.try_element_at(number, x)), lambda x: x.isNotNull()) if names else F.array().cast("array<int>")
     targets = F.broadcast(cut(labelled.select("doc_id", numbers.alias("targets")), "labels"))
     sample = texts.join(targets, "doc_id")
-    titled = sample.select("doc_id", "page_id", "targets").distinct().join(pages, "page_id").select("doc_id", "title", "targets").distinct()
+    titled = sample.select("doc_id", "page_id", "targets").distinct().join(pages, "page_id")
+    titled = canonical(titled.select("doc_id", "title", "targets").distinct())
     sample = sentence_words(sample.select("text", "targets"), "text").select("words", "targets").unionByName(title_words(titled, "title").select("words", "targets"))
     model = train(sample, vocabulary, names, s)
 
@@ -277,7 +281,7 @@ def subject_areas(
     per = cut(per.groupBy("doc_id").agg(F.sum("n").alias("all"), F.collect_list(F.struct("subject", "n")).alias("by")), "subjects")
     by_text = per.select("doc_id", "all", F.explode("by").alias("x")).filter(F.col("x.n") >= F.col("all") * s.share).select("doc_id", "x.subject")
     open_docs = texts.select("doc_id", "page_id").distinct().join(per.select("doc_id"), "doc_id", "left_anti")
-    titles = title_words(open_docs.join(pages, "page_id").select("doc_id", "title").distinct(), "title").select("doc_id", "words")
+    titles = title_words(canonical(open_docs.join(pages, "page_id").select("doc_id", "title").distinct()), "title").select("doc_id", "words")
     votes = score(titles, model, s.accept).filter("subject is not null").groupBy("doc_id", "subject").agg(F.count(F.lit(1)).alias("n"))
     most = votes.groupBy("doc_id").agg(F.collect_list(F.struct("subject", "n")).alias("by"), F.max("n").alias("most"))
     by_page = most.select("doc_id", "most", F.explode("by").alias("x")).filter("x.n = most").select("doc_id", "x.subject")
