@@ -11,7 +11,8 @@ to the driver (their number is that of the partitions), no source is gathered in
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import base64
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -22,21 +23,34 @@ from pyspark.sql import functions as F
 from ..session import cut
 
 
+#: Fixed value: how byte-level BPE of this vocabulary cuts a text before merging.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def token_counter(tokenizer: str) -> Callable[[list[str]], list[int]]:
+    """Numbers of tokens of texts, by a file of byte-level BPE: ranks (``.tiktoken``) or ``.json``."""
+    if tokenizer.endswith(".tiktoken"):
+        import tiktoken
+
+        with open(tokenizer, "rb") as f:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+        encode = tiktoken.Encoding("ranks", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        return lambda texts: [len(encode(t)) for t in texts]
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer)
+    t.encode_special_tokens = True
+    return lambda texts: [len(e.ids) for i in range(0, len(texts), 64) for e in t.encode_batch(texts[i : i + 64], add_special_tokens=False)]
+
+
 def count_tokens(docs: DataFrame, text: str, tokenizer: str) -> DataFrame:
-    """docs with ``n_tokens`` in place of the text: tokens of the whole text by a byte-level BPE file of
-    the tokenizers library. Null and empty texts have 0."""
+    """docs with ``n_tokens`` in place of the text: tokens of the whole text. Null and empty texts have 0."""
     rest = [f for f in docs.schema.fields if f.name != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        t = Tokenizer.from_file(tokenizer)
-        t.encode_special_tokens = True
+        count = token_counter(tokenizer)
         for b in batches:
-            n: list[int] = []
-            texts = b.column(b.num_columns - 1).to_pylist()
-            for i in range(0, len(texts), 64):
-                n += [len(e.ids) for e in t.encode_batch([x or "" for x in texts[i : i + 64]], add_special_tokens=False)]
+            n = count([x or "" for x in b.column(b.num_columns - 1).to_pylist()])
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(n, pa.int64())], [*(f.name for f in rest), "n_tokens"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), "n_tokens bigint"])

@@ -14,7 +14,7 @@ from .pii import personal_information
 from .subjects import subject_areas
 
 #: The tokenizer file that counts tokens; pass another path on a cluster where it lies elsewhere.
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
 def similar_words(spark: SparkSession, sf_dir: str) -> DataFrame:
