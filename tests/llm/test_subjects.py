@@ -2,7 +2,8 @@ import random
 
 from lexiweave.llm.subjects import Settings, subject_areas
 
-NOUNS = {"sport": "bramka puchar trener mecz zawodnik".split(), "law": "sąd wyrok ustawa umowa adwokat".split(), "music": "nuta chór opera akord rytm".split()}
+NOUNS = {"sport": "bramka puchar trener mecz zawodnik".split(), "law": "sąd wyrok ustawa umowa adwokat".split(), "music": "nuta chór opera akord rytm".split(),
+         "cuisine": "sos farsz owoc placek zupa".split(), "history": "wojna król zamek traktat najazd".split(), "software": "plik kod serwer skrypt moduł".split()}
 COMMON = "rok strona forma część plan okres zbiór opis dzień temat".split()
 
 
@@ -14,7 +15,7 @@ def sentence(rng, subject=None):
     return f"Inny {a} mówi o {x}ie oraz {y} i {b}."
 
 
-def corpus(spark, n=400, seed=1):
+def corpus(spark, n=600, seed=1):
     rng = random.Random(seed)
     docs, truth = [], {}
     for i in range(n):
@@ -46,9 +47,9 @@ def test_held_out_accuracy(spark):
     cats = [(777, "Kategoria:Wyrok_Xyzzy"), (777, "Artykuły_bez_nuta"), (778, "opera Xyzzy|y"), (779, "Rok_Qwerty"), (None, "x"), (1, None)]
     cats += [(10_000 + i, f"{w.title()}_Abc{i}") for i in range(4) for ws in NOUNS.values() for w in ws]
     got, model = run(spark, docs, labels, cats)
-    held = range(200, 400)
-    assert sum(got.get(i, set()) == truth[i] for i in held) / 200 > 0.95
-    assert model.losses[-1] < 0.6 * model.losses[0]
+    held = range(300, 600)
+    assert sum(got.get(i, set()) == truth[i] for i in held) / 300 > 0.95
+    assert model.losses[-1] < 0.7 * model.losses[0]
     assert got.get(9001) == {"law"} and got.get(9002) == {"music"} and 9003 not in got and 9004 not in got
 
 
