@@ -44,8 +44,9 @@ def run(spark, docs, labels, cats=(), **how):
 def test_held_out_accuracy(spark):
     docs, truth, labels = corpus(spark)
     docs += [(9001, 777, "Ten plan oraz rok wymaga opisu."), (9002, 778, None), (9003, None, ""), (9004, 779, "Ten plan oraz rok wymaga opisu.")]
-    cats = [(777, "Kategoria:Wyrok_Xyzzy"), (777, "Artykuły_bez_nuta"), (778, "opera Xyzzy|y"), (779, "Rok_Qwerty"), (None, "x"), (1, None)]
+    cats = [(777, "Kategoria:Wyrok_Xyzzy"), (777, "Artykuły_bez_nuta"), (778, "opera Xyzzy|y"), (779, "Plan_Qwerty"), (None, "x"), (1, None)]
     cats += [(10_000 + i, f"{w.title()}_Abc{i}") for i in range(4) for ws in NOUNS.values() for w in ws]
+    cats += [(i, f"{COMMON[i % 10].title()}_Def{i}") for i in range(50)]  # links of labelled pages, without a subject
     got, model = run(spark, docs, labels, cats)
     held = range(300, 600)
     assert sum(got.get(i, set()) == truth[i] for i in held) / 300 > 0.95
