@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.wikitext import CATEGORY, NOISE, TOKEN, base_name, category_names, sanitize_title, strip_noise, tokens
 from ..operators import evaluate, features, knn, legacy, similarity
-from ..session import load
+from ..session import cut, load
 from ..sources.dump import positional_sample, upsert_articles
 
 # ---- shared inputs
@@ -125,7 +125,7 @@ def l2_norms(spark, d):
 
 
 def _sim(spark, d, **how):
-    tf, cats = tf_cats(spark, d)
+    tf, cats = (cut(x, "counts") for x in tf_cats(spark, d))  # read several times below
     return similarity.similarities(tf, cats, query_tf(tf, spark, d), **how)
 
 
