@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The prefixes of a category title.
+#: Fixed value: the prefixes of a category title.
 CATEGORY_PREFIX = r"(?i)^(kategoria|category):"
 
 
@@ -20,8 +20,9 @@ def canonical_title(title: Column) -> Column:
     t = F.regexp_replace(t, CATEGORY_PREFIX, "")
     t = F.substring_index(t, "|", 1)
     t = F.regexp_replace(t, r"[\s_]+", "_")
-    t = F.regexp_replace(t, r"^_|_$", "")
-    return F.concat(F.upper(F.substring(t, 1, 1)), F.substr(t, F.lit(2)))
+    t = F.btrim(t, F.lit("_"))
+    # bound to a name, as the chain above would otherwise be evaluated once for each use of it
+    return F.element_at(F.transform(F.array(t), lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.substr(x, F.lit(2)))), 1)
 
 
 def canonical_sql(title: str) -> str:
