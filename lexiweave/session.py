@@ -67,20 +67,19 @@ def skew_join(
 ) -> DataFrame:
     """Equi-join of left with a right side that is unique on ``on``, safe against hot keys of left.
 
-    A key is hot if it holds more than 1 / (per_partition * shuffle partitions) of left's rows, so
+    A key is hot if it holds more than 1 / (per_partition * shuffle partitions) of left's rows with a key, so
     there are at most per_partition * shuffle partitions of them and right's rows of these keys are
     a broadcast of proven size; left's hot rows are not shuffled at all. The other rows take the
-    ordinary shuffle join. Keys are counted with map-side combining. Null keys match nothing.
+    ordinary shuffle join. Keys are counted in one pass, with map-side combining. Null keys match nothing.
     """
     on = list(on)
     if how not in ("inner", "left"):
         raise ValueError(how)
     parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     most = per_partition * parts
-    counts = left.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
-    counts = counts.filter(" and ".join(f"`{c}` is not null" for c in on))
-    total = left.count()
-    hot = counts.filter(F.col("_n") > F.lit(total / most)).select(*on)
+    counts = left.filter(" and ".join(f"`{c}` is not null" for c in on)).groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
+    total = F.broadcast(counts.agg(F.sum("_n").alias("_total")))  # one row, from the same exchange
+    hot = counts.join(total).filter(F.col("_n") * most > F.col("_total")).select(*on)
     hot_keys = hot.limit(most).collect()
     if not hot_keys:
         return left.join(right, on, how)
