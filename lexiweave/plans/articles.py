@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from ..functions.wikitext import CATEGORY, NOISE, TOKEN, base_name, category_names, sanitize_title, strip_noise, tokens
 from ..operators import evaluate, features, knn, legacy, similarity
-from ..session import cut, load
-from ..sources.dump import positional_sample, upsert_articles
+from ..session import cut, load, new_path
+from ..sources.dump import positional_sample, read_dump, upsert_articles, write_dump
 
 # ---- shared inputs
 
@@ -92,6 +92,13 @@ def upsert_last_wins(spark, d):
     return upsert_articles(load(spark, d, "documents"), "title", "text", "doc_id").select("title", F.md5(F.coalesce("body", F.lit(""))).alias("body_md5"))
 
 
+def xml_dump(spark, d):
+    """Every document written to an XML dump and read from it."""
+    path = new_path(spark, "dump")
+    write_dump(load(spark, d, "documents").select("title", F.col("text").alias("body")), path)
+    return read_dump(spark, path).select("title", F.md5("body").alias("body_md5"))
+
+
 def strip_noise_(spark, d):
     return articles(spark, d).select("title", strip_noise(F.col("body")).alias("clean"))
 
@@ -204,6 +211,7 @@ QUERIES = {
     "title_sanitize": (title_sanitize, r"""SELECT CAST(page_id AS BIGINT) AS page_id, t AS title, regexp_replace(t, '\.[^.]*$', '') AS base
         FROM (SELECT page_id, replace(translate(page_title, '/\ :', '____'), '"', '') AS t FROM page)"""),
     "upsert_last_wins": (upsert_last_wins, r"""SELECT t AS title, md5(coalesce(arg_max_null(text, doc_id), '')) AS body_md5 FROM (SELECT replace(translate(title, '/\ :', '____'), '"', '') AS t, text, doc_id FROM documents) GROUP BY t"""),
+    "xml_dump": (xml_dump, "SELECT title, md5(CASE WHEN trim(text) <> '' THEN text ELSE '' END) AS body_md5 FROM documents"),
     "strip_noise": (strip_noise_, f"WITH {_ART}, {_CLEAN} SELECT title, body AS clean FROM cl"),
     "extract_categories": (extract_categories, f"WITH {_ART}, {_CLEAN} SELECT title, CAST(row_number() OVER (PARTITION BY title ORDER BY i) - 1 AS BIGINT) AS position, category FROM (SELECT title, i, {_NAME} AS category FROM (SELECT title, unnest(xs) AS x, unnest(range(len(xs))) AS i FROM (SELECT title, regexp_extract_all(body, '{_q(CATEGORY)}') AS xs FROM cl))) WHERE category <> ''"),
     "tokenize": (tokenize, f"WITH {_ART}, {_CLEAN}, {_TOK} SELECT term, count(*) AS n FROM tok GROUP BY term"),

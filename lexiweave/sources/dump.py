@@ -15,12 +15,20 @@ PAGE = T.StructType([
 
 
 def read_dump(spark: SparkSession, path: str) -> DataFrame:
-    """(title, body, index): the pages of an XML dump; index counts from 0 in the order of the file."""
-    pages = spark.read.format("xml").option("rowTag", "page").option("attributePrefix", "@").schema(PAGE).load(path)
+    """(title, body, index): the pages of an XML dump; index counts from 0 in the order of the file.
+
+    A text of nothing but blanks is read as empty; all other texts keep their blanks."""
+    pages = spark.read.format("xml").option("rowTag", "page").option("attributePrefix", "@").option("ignoreSurroundingSpaces", False).schema(PAGE).load(path)
     rows = pages.select("title", F.coalesce("revision.text._VALUE", F.lit("")).alias("body"))
     return number_rows(rows)
 
 
+def write_dump(articles: DataFrame, path: str) -> None:
+    """(title, body) as an XML dump of pages, one file per partition."""
+    pages = articles.select("title", F.struct(F.struct(F.col("body").alias("_VALUE")).alias("text")).alias("revision"))
+    pages.write.format("xml").option("rootTag", "mediawiki").option("rowTag", "page").option("attributePrefix", "@").save(path)
+
+
 def number_rows(df: DataFrame, name: str = "index") -> DataFrame:
     """df with a dense number from 0 in the order of its partitions: sizes of partitions are counted
     first, so no row is shuffled."""
