@@ -131,13 +131,14 @@ def _rules() -> list[Rule]:
     at = r"(?:@| @ |\[at\]|\(at\)| \(at\) | \[at\] |\(małpa\)| \(małpa\) )"
     town = rf"{CAP}(?:-{CAP})?"
     # a town without postcode must not begin the next sentence
-    lone = rf"(?:, (?!(?:Tel|Fax|Kom|Nr|Str)\b){town}(?= *(?:[.,;<\[\n)]|[–-](?:\s|$)|$)| (?![–-])[{UP}]))?"
+    lone = rf"(?:, (?!(?:Tel|Fax|Kom|Nr|Str|PESEL|NIP|ISBN|ID)\b){town}(?= *(?:[.,;<\[\n)]|[–-](?:[\s<]|$)|$)| [{UP}\d]| (?:tel|kom|nr|wersja|dowód)\b))?"
     street = rf"(?:\d{{1,2}} )?{CAP}(?: {CAP})?"
     return [
         Rule("email", c(rf"(?<![\w.+@=/-])[\w][\w.+-]*{at}[\w-]+(?:{dot}[\w-]+)*{dot}[A-Za-z]{{2,}}(?![\w@])"), 0.9, anchor="at"),
         Rule("phone", c(r"(?<![\w+.])(?:\+48|0048|\(\+48\)|\(0048\))[ .-]?(?:\d{3}[ .-]?\d{3}[ .-]?\d{3}|\d{2}[ .-]?\d{3}[ .-]?\d{2}[ .-]?\d{2})(?![\w-]*\d)"), 0.8),
-        Rule("phone", c(r"(?<![\w.-])\d{3}([ -])\d{3}\1\d{3}(?![ .-]?\d)(?!\w)"), 0.5),
-        Rule("phone", c(r"(?<![\w.)-])(?:\(0?\d{2}\)|0\d{2}) ?\d{3}[ -]\d{2}[ -]\d{2}(?![ .-]?\d)(?!\w)"), 0.6),
+        Rule("phone", c(r"(?<![\w.-])\d{3}-\d{3}-\d{3}(?![.-]?\d)(?!\w)"), 0.5),
+        Rule("phone", c(r"(?<![\w.-])\d{3} \d{3} \d{3}(?! \d{3}(?![\d-]))(?![.-]?\d)(?!\w)"), 0.5),
+        Rule("phone", c(r"(?<![\w.)-])(?:\(0?\d{2}\)|0\d{2}) ?\d{3}[ -]\d{2}[ -]\d{2}(?! \d{2}(?![\d-]))(?![.-]?\d)(?!\w)"), 0.6),
         Rule("phone", c(r"(?<![\w.-])\d{9}(?!\w)"), 0.2),
         Rule("phone", c(r"(?<![\w+.])(?:\+44|0044) ?(?:\(0\) ?)?\d{2,4} ?\d{3,4} ?\d{3,4}(?!\w)"), 0.8),
         Rule("phone", c(r"(?<![\w+.])(?:\(0\d{3,4}\) ?|0\d{4} )\d{3} ?\d{3}(?!\w)"), 0.6),
@@ -169,7 +170,7 @@ NEAR = {
     "email": (re.compile(r"(?i)(mail|kontakt|pisz|adres|write|remarks|contact|hinweise)[^\n]{0,24}$"), 0.1),
 }
 AGAINST = re.compile(r"(?i)(\binw\.?|\binv\.?(?: no\.?)?|inv\.-nr\.|isbn|issn|wersja|version|\bdoi|oclc|\bid=|sygn\.|nr kat\.|katalog\w*)[ :]*[\w.-]{0,4} ?$")
-ID_ONLY = re.compile(r"(?i)(pesel|nip|dow[oó]d|ewidencyjn|wpisano|identity|id no|ausweis|passport|paszport)[^\n]{0,18}$")
+ID_ONLY = re.compile(r"(?i)(pesel|nip|dow[oó]d|ewidencyjn|wpisano|identity|id no|ausweis|passport|paszport)[^\n\d]{0,18}$")
 UNIT = re.compile(r" ?(?:m³|m²|km|kg|zł|°|%|mm|cm|ha\b)")
 URL = re.compile(r"(?i)\b(?:https?://|www\.)[^\s\]<>|]+")
 BEFORE_NAME = re.compile(

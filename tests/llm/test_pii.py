@@ -12,6 +12,8 @@ CASES = [
     ("kom.: (+48) 409923926 (tylko SMS)", [("phone", "(+48) 409923926")]),
     ("Dzwonić pod numer (20) 954 55 07 po południu.", [("phone", "(20) 954 55 07")]),
     ("Call (01632) 960 088 or 01632 960388. Tel. 0049 (0)30 23125-403, Anruf unter 030/23125692", [("phone", "(01632) 960 088"), ("phone", "01632 960388"), ("phone", "0049 (0)30 23125-403"), ("phone", "030/23125692")]),
+    ("dowód/NIP: 000-903-03-33, tel. (30) 980 70 73. tel. 309-087-838 16-03-1965", [("id_number", "000-903-03-33"), ("phone", "(30) 980 70 73"), ("phone", "309-087-838")]),
+    ("tel. 309 087 838 16-03-1965 kom. (20) 983 19 52 12-12-1912", [("phone", "309 087 838"), ("phone", "(20) 983 19 52")]),
     ("9 120 508 m³, 12-10-1946, nr inw. 39651771350, ISBN 978-83-0000-446-0, wersja 7.18.755.3", []),
     ("PESEL 90721574140", [("id_number", "90721574140")]),
     ("Numer ewidencyjny osoby to 277028 38177.", [("id_number", "277028 38177")]),
@@ -22,6 +24,7 @@ CASES = [
     ("Odbiór książek: ulica Cicha 80b, Brewlyklir –\nOdbiór: ul. Polna 93, Pisz na", [("address", "ulica Cicha 80b, Brewlyklir"), ("address", "ul. Polna 93")]),
     ("Lives at Apt 6B, 11 Quarry Street. Wohnt in Lindenweg 9, 00906 Brygomał.", [("address", "Apt 6B, 11 Quarry Street"), ("address", "Lindenweg 9, 00906 Brygomał")]),
     ("ulica Źródlana (Czusochin)", []),
+    ("ulica Cicha 8b, Łogluto –<ref>x</ref> ulica Cicha 8b, Jazdymera nr inw. 97631252054 ulica Cicha 8, Dzwonić pod", [("address", "ulica Cicha 8b, Łogluto"), ("address", "ulica Cicha 8b, Jazdymera"), ("address", "ulica Cicha 8")]),
     ("* Tomasz Mrikrulak-Truwawska – opiekun strony", [("name", "Tomasz Mrikrulak-Truwawska")]),
     ("udzielił(a) '''CELINA ŚWYGRYLAK'''.", [("name", "CELINA ŚWYGRYLAK")]),
     ("Zdjęcie nadesłał(a) P. Wryhowski. Signed: Bokiworth, Grace", [("name", "P. Wryhowski"), ("name", "Bokiworth, Grace")]),
