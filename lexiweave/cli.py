@@ -9,8 +9,9 @@ fold COUNTS OUT                                          counts and categories i
 crossvalidate FOLDS OUT                                  predicted labels of every article from the other folds
 crossvalidate --auto ARTICLES WORK                       word counts where missing, folds, labels, scores, average
 cvscores PREDICTED FOLDS OUT                             per-article metrics
+cvscores --auto WORK                                     metrics and average of an earlier crossvalidate --auto
 cvaverage SCORES OUT                                     their average
-All verbs take --properties FILE. Exit code 0 on success.
+All verbs take --properties FILE. Paths name their file system, so --local changes nothing. Exit code 0 on success.
 """
 
 from __future__ import annotations
@@ -66,6 +67,11 @@ def _scores(spark: SparkSession, predicted: str, folds: str, out: str) -> None:
     evaluate.compare(features.category_lists(cats), spark.read.parquet(predicted)).write.mode("overwrite").parquet(out)
 
 
+def _score_and_average(spark: SparkSession, work: str) -> None:
+    _scores(spark, f"{work}/predicted", f"{work}/folds", f"{work}/scores")
+    _show(evaluate.cv_average(spark.read.parquet(f"{work}/scores")))
+
+
 def _show(df: DataFrame) -> None:
     for row in df.toLocalIterator():
         print(*row, sep="\t")
@@ -80,6 +86,7 @@ def run(argv: list[str], spark: SparkSession | None = None) -> int:
         v.add_argument("--properties")
         v.add_argument("--auto", action="store_true")
         v.add_argument("--push", action="store_true")
+        v.add_argument("--local", action="store_true")
         v.add_argument("--dictionary")
         for n in ("--start", "--skip", "--max"):
             v.add_argument(n, type=int, default=-1)
@@ -88,6 +95,8 @@ def run(argv: list[str], spark: SparkSession | None = None) -> int:
     if o.dictionary:
         s = Settings(**{**vars(s), "dictionary_location": o.dictionary})
     need = {"dump": 2, "wordcount": 2, "classify": 3, "bestCategories": 1, "fold": 2, "crossvalidate": 2, "cvscores": 3, "cvaverage": 2}[o.verb]
+    if o.verb == "cvscores" and o.auto:
+        need = 1
     if len(o.args) < need:
         top.error(f"{o.verb} needs {need} paths")
     spark = spark or SparkSession.builder.appName("lexiweave").getOrCreate()
@@ -120,10 +129,14 @@ def run(argv: list[str], spark: SparkSession | None = None) -> int:
                 _word_count(spark, a[0], f"{work}/counts", s)
             _fold(spark, f"{work}/counts", f"{work}/folds", s)
             _cross_validate(spark, f"{work}/folds", f"{work}/predicted", s)
-            _scores(spark, f"{work}/predicted", f"{work}/folds", f"{work}/scores")
-            _show(evaluate.cv_average(spark.read.parquet(f"{work}/scores")))
+            _score_and_average(spark, work)
         else:
             _cross_validate(spark, a[0], a[1], s)
+    elif o.verb == "cvscores" and o.auto:
+        if not exists(spark, f"{a[0]}/predicted"):
+            print("crossvalidate --auto has not run there", file=sys.stderr)
+            return 1
+        _score_and_average(spark, a[0])
     elif o.verb == "cvscores":
         _scores(spark, a[0], a[1], a[2])
     else:

@@ -16,7 +16,7 @@ class Settings:
     strip_extension: bool = True
 
     def __post_init__(self) -> None:
-        if not 0 <= self.classifier_precision <= 1:
+        if not self.classifier_precision >= 0:
             object.__setattr__(self, "classifier_precision", 0.8)
         object.__setattr__(self, "classify_repetitions", max(1, self.classify_repetitions))
         if self.k < 1 or self.folds < 1 or self.random_per_fold < 1:

@@ -70,5 +70,6 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.run(["cvscores", p("cv"), p("folds"), p("scores")], spark) == 0
     assert cli.run(["cvaverage", p("scores"), p("avg")], spark) == 0
     assert cli.run(["crossvalidate", "--auto", p("articles"), p("work")], spark) == 0
+    assert cli.run(["cvscores", "--auto", p("work")], spark) == 0 and cli.run(["cvscores", "--auto", p("none")], spark) == 1
     assert cli.run(["classify", "--auto", p("articles"), p("articles"), p("auto")], spark) == 0
     assert "Kot\tZ" in capsys.readouterr().out
