@@ -42,19 +42,35 @@ def _turn(x: np.ndarray, signs: np.ndarray) -> np.ndarray:
     return x
 
 
+def _rotation(signs: np.ndarray) -> np.ndarray:
+    """The pseudo-rotation as a matrix: the transform of the unit vectors. One dense product by it is quicker
+    in numpy than the transform's steps, at the sizes of word vectors."""
+    return _turn(np.eye(signs.shape[-1], dtype=np.float32), signs)
+
+
 def _axes(y: np.ndarray, ranks: int) -> tuple[np.ndarray, np.ndarray]:
     """The ``ranks`` nearest signed axes of each row and how much farther than the nearest each is."""
-    both = np.concatenate([y, -y], 1)
-    ranks = min(ranks, both.shape[1])
-    best = np.argsort(-both, 1, kind="stable")[:, :ranks]
-    v = np.take_along_axis(both, best, 1)
+    w = y.shape[1]
+    ranks = min(ranks, 2 * w)
+    size, rows = np.abs(y), np.arange(len(y))
+    if ranks > w:  # so few axes that the opposite ones count too
+        both = np.concatenate([y, -y], 1)
+        best = np.argsort(-both, 1, kind="stable")[:, :ranks]
+        v = np.take_along_axis(both, best, 1)
+        return best, (v[:, :1] - v) ** 2
+    best, v = np.empty((len(y), ranks), np.int64), np.empty((len(y), ranks), np.float32)
+    for r in range(ranks):
+        axis = size.argmax(1)
+        v[:, r] = size[rows, axis]
+        best[:, r] = axis + w * (y[rows, axis] < 0)
+        size[rows, axis] = -1
     return best, (v[:, :1] - v) ** 2
 
 
-def _probes(x: np.ndarray, signs: np.ndarray, widths: list[int], probes: int) -> np.ndarray:
+def _probes(x: np.ndarray, turns: list[np.ndarray], widths: list[int], probes: int) -> np.ndarray:
     """The codes of the ``probes`` best cells of each row: at first the nearest axes, then those in
     which one hash takes its second or third axis, by the loss that this means."""
-    parts = [_axes(_turn(x, signs[i])[:, :w], 3) for i, w in enumerate(widths)]
+    parts = [_axes(x @ turn[:, :w], 3) for turn, w in zip(turns, widths)]
     place = [int(np.prod([2 * w for w in widths[i + 1 :]], dtype=np.int64)) for i in range(len(widths))]
     base = sum(a[:, 0].astype(np.int64) * p for (a, _), p in zip(parts, place))
     codes, loss = [base], [np.zeros(len(x), np.float32)]
@@ -103,7 +119,7 @@ def unit_vectors(df: DataFrame, id_col: str, vec_col: str, dim: int) -> DataFram
 
 
 def nearest_vectors(
-    units: DataFrame, k: int = 5, dim: int = 64, tables: int = 3, probes: int = 3, cell_rows: int = 12, max_cell: int = 4096, seed: int = 7
+    units: DataFrame, k: int = 5, dim: int = 64, tables: int = 3, probes: int = 3, cell_rows: int = 24, max_cell: int = 4096, seed: int = 7
 ) -> DataFrame:
     """(id, neighbour, cosine): for every vector its k most similar other vectors.
 
@@ -144,25 +160,34 @@ def _search(units: DataFrame, k: int, dim: int, tables: int, probes: int, cell_r
     widths = [dim] * (bits // full) + ([1 << (bits % full - 1)] if bits % full else [])
     signs = _rotations(tables * (len(widths) + DEEPER), dim, seed).reshape(tables, -1, 3, dim)
 
-    def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = _matrix(b.column(1), dim)
-            if not len(x):
-                continue
-            for t in range(tables):
-                cell = _probes(x, signs[t], widths, probes)
-                deep = np.stack([_axes(_turn(x, s), 1)[0][:, 0] for s in signs[t][len(widths) :]], 1).astype(np.uint8)
-                for p in range(cell.shape[1]):
-                    yield pa.RecordBatch.from_arrays(
-                        [b.column(0), b.column(1), pa.array(np.full(len(x), t, np.int32)), pa.array(cell[:, p]), _binary(deep)],
-                        ["id", "unit", "t", "cell", "deep"],
-                    )
-
-    rows = units.mapInArrow(codes, "id bigint, unit binary, t int, cell bigint, deep binary")
+    def coded(deeper: bool, payload: bool) -> DataFrame:
+        """A row per vector, table and probe; deeper: with the further hashes; payload: with the vector."""
+
+        def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            turns = [[_rotation(s) for s in table] for table in signs]
+            for b in batches:
+                x = _matrix(b.column(1), dim)
+                if not len(x):
+                    continue
+                for t in range(tables):
+                    cell = _probes(x, turns[t][: len(widths)], widths, probes)
+                    deep = np.zeros((len(x), 0), np.uint8)
+                    if deeper:
+                        deep = np.stack([_axes(x @ m, 1)[0][:, 0] for m in turns[t][len(widths) :]], 1).astype(np.uint8)
+                    unit = [b.column(1)] if payload else []
+                    for p in range(cell.shape[1]):
+                        yield pa.RecordBatch.from_arrays(
+                            [b.column(0), *unit, pa.array(np.full(len(x), t, np.int32)), pa.array(cell[:, p]), _binary(deep)],
+                            ["id", *["unit"][: len(unit)], "t", "cell", "deep"],
+                        )
+
+        d = units.mapInArrow(codes, f"id bigint, {'unit binary, ' if payload else ''}t int, cell bigint, deep binary")
+        return d.withColumn("more", F.lit(b"").cast("binary"))
+
     key = ["t", "cell", "more"]
-    rows = rows.withColumn("more", F.lit(b"").cast("binary"))
     size = lambda d: d.select(*key).groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max_cell)
-    heavy = cut(size(rows), "cells")
+    heavy = cut(size(coded(False, False)), "cells")
+    rows = coded(not heavy.isEmpty(), True)
     for depth in range(1, DEEPER + 1):
         if heavy.isEmpty():
             break
