@@ -123,8 +123,8 @@ def leaked_passages(
     sent to the tasks is bounded whatever the number of items.
     """
     id_type = docs.schema[doc_id].dataType
-    corpus = docs.select(F.col(doc_id), plain_words(F.col(text)).cast("binary").alias("_words")).filter("_words is not null")
-    stored = items.select(F.col(item_id).cast("bigint").alias("i"), *[plain_words(F.col(p)).alias(f"p{k}") for k, p in enumerate(passages)])
+    corpus = docs.filter(F.col(text).isNotNull()).select(F.col(doc_id), plain_words(F.col(text)).cast("binary").alias("_words"))
+    stored = items.filter(F.col(item_id).isNotNull()).select(F.col(item_id).cast("bigint").alias("i"), *[plain_words(F.col(p)).alias(f"p{k}") for k, p in enumerate(passages)])
     out, patterns, used = [], {}, 0
 
     def scan(patterns: dict[bytes, list[int]]) -> DataFrame:
