@@ -58,9 +58,9 @@ def clean(text: Column) -> Column:
 def sentence_words(df: DataFrame, text: str) -> DataFrame:
     """df's other columns and ``words``, one row per sentence of three words or more; null text has none."""
     rest = [c for c in df.columns if c != text]
-    s = df.select(*rest, F.explode(F.split(clean(F.col(text)), SENTENCE_END)).alias("_s"))
-    s = s.select(*rest, F.regexp_extract_all(F.lower("_s"), F.lit(WORD), F.lit(0)).alias("words"))
-    return s.filter(F.size("words") >= 3)
+    # inside one expression, as a filter on an extracted column would extract twice
+    found = F.transform(F.split(clean(F.col(text)), SENTENCE_END), lambda x: F.regexp_extract_all(F.lower(x), F.lit(WORD), F.lit(0)))
+    return df.select(*rest, F.explode(F.filter(found, lambda w: F.size(w) >= 3)).alias("words"))
 
 
 def title_words(df: DataFrame, title: str) -> DataFrame:
