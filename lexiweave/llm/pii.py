@@ -8,6 +8,7 @@ the earlier. One pass over Arrow batches, no shuffle.
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -273,11 +274,12 @@ def find(text: str, threshold: float = 0.6, rules: list[Rule] | None = None) ->
             if r.kind == "phone" and ID_ONLY.search(before):
                 score -= 0.3
             found.append((a, b, r.kind, score))
-    taken: list[tuple[int, int, str, float]] = []
+    taken: list[tuple[int, int, str, float]] = []  # in order of start
     for x in sorted((x for x in found if x[3] >= threshold), key=lambda x: (-round(x[3], 6), x[0] - x[1], x[0])):
-        if all(x[1] <= y[0] or x[0] >= y[1] for y in taken):
-            taken.append(x)
-    return sorted(taken)
+        i = bisect.bisect_left(taken, x[:2])
+        if (i == 0 or taken[i - 1][1] <= x[0]) and (i == len(taken) or taken[i][0] >= x[1]):
+            taken.insert(i, x)
+    return taken
 
 
 RULES = _rules()
