@@ -47,7 +47,8 @@ def unresolved_references(
 ) -> DataFrame:
     """The references that lead to no record, with the column ``reason``.
 
-    refs: the key columns (the same names as in states) and any others, which are passed on. states:
+    refs: the key columns (the same names as in states) and any others, which are passed on, but for a ``reason``, which is
+    replaced. states:
     see key_states(). References are grouped by which of their key columns are null; each group is
     joined on its non-null columns only, so rows of one mask never meet those of another:
 
@@ -63,7 +64,8 @@ def unresolved_references(
     """
     if match not in MATCH:
         raise ValueError(match)
-    keys, cols = list(keys), refs.columns
+    keys, cols = list(keys), [c for c in refs.columns if c != "reason"]
+    refs = refs.select(*[F.col(f"`{c}`") for c in cols])
     parts = []
     masks = [m for m in product([True, False], repeat=len(keys)) if any(m)]
     for mask in masks:

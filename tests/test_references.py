@@ -47,6 +47,12 @@ def test_hot_key(spark):
     assert got.filter("reason = 'deleted'").count() == 600 and got.filter("reason = 'missing'").count() == 300
 
 
+def test_clashing_columns_are_kept_or_replaced(spark):
+    r = refs(spark).selectExpr("*", "'old' as reason", "1 as present", "2 as deleted")
+    got = unresolved_references(r, states(spark), ["ns", "title"], "load_ts")
+    assert got.columns == ["k", "ns", "title", "load_ts", "present", "deleted", "reason"] and {x.reason for x in got.collect()} == {"late", "deleted", "missing"}
+
+
 def test_unknown_match(spark):
     with pytest.raises(ValueError):
         unresolved_references(refs(spark), states(spark), ["ns", "title"], match="loose")
