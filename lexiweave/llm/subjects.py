@@ -253,7 +253,9 @@ def subject_areas(
     labels nothing is found.
     """
     s = settings or Settings()
-    names = [r[0] for r in subjects.select("subject").filter("subject is not null").distinct().orderBy("subject").limit(1000).collect()]
+    names = [r[0] for r in subjects.select("subject").filter("subject is not null").distinct().orderBy("subject").limit(1001).collect()]
+    if len(names) > 1000:
+        raise ValueError("more than 1000 subjects")
     counts = word_rows(texts, "text")
     n_rows = texts.count()
     least = max(3, min(20, n_rows // 500))

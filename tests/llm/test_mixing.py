@@ -60,6 +60,14 @@ def test_fill():
     assert (p["a"].wanted, p["b"].wanted) == (100, 10_000)
 
 
+def test_repeated_rows_are_documents_of_their_own(spark):
+    d = docs(spark, {"a": 50, "b": 5})
+    m = mix_sources(d.unionAll(d), spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 2)], T))
+    rep = {r.source: r for r in m.report.collect()}
+    assert rep["a"].n_documents == 100 and rep["b"].mix_tokens == 2 * 10 * 7 and rep["b"].max_repeat == 2
+    assert m.rows.filter("source = 'a'").count() <= 100
+
+
 def test_empty_and_zero(spark):
     t = spark.createDataFrame([("a", 0.5, 1)], T)
     m = mix_sources(docs(spark, {}), t)

@@ -62,6 +62,14 @@ def test_lines_of_one_article_count_together(spark):
     assert got[5000] == {"sport"}
 
 
+def test_long_text_is_read_to_its_end(spark):
+    docs, truth, labels = corpus(spark)
+    rng = random.Random(3)
+    long_text = " ".join(sentence(rng) for _ in range(3000)) + " " + sentence(rng, "music")
+    got, _ = run(spark, [*docs, (6000, 1, long_text), (6001, 1, long_text), (6001, 1, long_text)], labels)
+    assert "music" in got[6000] and got[6000] == got[6001]
+
+
 def test_without_labels_or_texts(spark):
     docs, _, labels = corpus(spark, 40)
     assert run(spark, docs, [])[0] == {}
