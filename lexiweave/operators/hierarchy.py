@@ -58,17 +58,18 @@ def hierarchy(nodes: DataFrame, edges: DataFrame, with_path: bool = True, with_d
         ),
         "forest",
     )
-    start, levels, lists, inbox, r = rest, [], [], None, 0
+    start, stored, levels, lists, inbox, r = rest, rest, [], [], None, 0
     while True:
-        busy = rest.filter("parent is not null").select(F.col("parent").alias("id")).distinct().withColumn("_busy", F.lit(True))
+        # from the stored rows: sizes, which rest adds by a join, don't matter here
+        busy = stored.filter("parent is not null").select(F.col("parent").alias("id")).distinct().withColumn("_busy", F.lit(True))
         path = new_path(spark, f"peel{r}")
         rest.join(busy, "id", "left").withColumn("leaf", F.col("_busy").isNull()).drop("_busy").write.partitionBy(
             "leaf"
         ).parquet(path)
         done = spark.read.schema(rest.schema.add("leaf", "boolean")).parquet(path)
-        leaves = done.filter("leaf").drop("leaf")
+        leaves, stored = done.filter("leaf").drop("leaf"), done.filter("not leaf").drop("leaf")
         if not exists(spark, f"{path}/leaf=true"):
-            rest = done.drop("leaf")
+            rest = stored
             break
         levels.append(leaves)
         if with_descendants:
@@ -89,7 +90,7 @@ def hierarchy(nodes: DataFrame, edges: DataFrame, with_path: bool = True, with_d
             F.sum("size").alias("_size"), (F.max("height") + 1).alias("_height")
         )
         rest = (
-            done.filter("not leaf").join(sent, "id", "left")
+            stored.join(sent, "id", "left")
             .select("id", "parent", (F.col("size") + F.coalesce("_size", F.lit(0))).alias("size"), F.greatest("height", "_height").alias("height"))
         )
         r += 1
