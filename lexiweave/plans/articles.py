@@ -58,7 +58,6 @@ _SIM = """sim AS (SELECT a.query, a.title, a.dot / (sqrt(n.q::DOUBLE) * sqrt(m.q
  (SELECT qt.title AS query, tf.title, sum(tf.cnt * qt.cnt) AS dot FROM tf JOIN qt USING (term) GROUP BY ALL) a
  JOIN li ON li.title = a.title JOIN nm n ON n.title = a.title JOIN nm m ON m.title = a.query)"""
 _KNN = "nn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, title) AS rank FROM sim WHERE similarity > 0) WHERE rank <= 2)"
-_CODES = "regexp_extract_all(title, '(?s).')"
 _FOLD = """fo AS (SELECT title, CAST((abs(CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END) % 100) // 10 AS INT) AS fold FROM (SELECT title,
  list_reduce(list_prepend(0::BIGINT, list_transform(regexp_extract_all(title, '(?s).'), lambda x: unicode(x)::BIGINT)), lambda a, x: (a * 31 + x) % 4294967296) AS h FROM art))"""
 _PAIRS = """pr AS (SELECT a.fold, a.test, a.train, a.dot / (sqrt(n.q::DOUBLE) * sqrt(m.q::DOUBLE)) AS similarity FROM
