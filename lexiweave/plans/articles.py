@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.wikitext import CATEGORY, NOISE, TOKEN, base_name, category_names, sanitize_title, strip_noise, tokens
 from ..operators import evaluate, features, knn, legacy, similarity
-from ..session import cut, load, new_path
+from ..session import cut, load, new_path, spread
 from ..sources.dump import positional_sample, read_dump, upsert_articles, write_dump
 
 # ---- shared inputs
@@ -16,7 +16,8 @@ from ..sources.dump import positional_sample, read_dump, upsert_articles, write_
 
 def articles(spark: SparkSession, d: str) -> DataFrame:
     """(title, body): every document under the name doc_<id>."""
-    return load(spark, d, "documents").select(F.concat(F.lit("doc_"), F.col("doc_id")).alias("title"), F.coalesce("text", F.lit("")).alias("body"))
+    docs = spread(load(spark, d, "documents").select("doc_id", "text"))
+    return docs.select(F.concat(F.lit("doc_"), F.col("doc_id")).alias("title"), F.coalesce("text", F.lit("")).alias("body"))
 
 
 def tf_cats(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

@@ -71,6 +71,13 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, for work that costs far more than a shuffle of its rows: tables of so few files that
+    cores would stay idle are repartitioned, any larger table is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def at_most(df: DataFrame, rows: int) -> bool:
     """Whether df has no more than ``rows`` rows; stops counting beyond that."""
     return df.limit(rows + 1).count() <= rows
