@@ -5,7 +5,7 @@ three times) and assigned to the nearest signed axis. ``tables`` independent tab
 vector is entered into its ``probes`` best cells of each table, so two vectors meet if any of their
 probed cells agree. Every cell is one task-sized group: a block product gives each member its k best
 mates, and only those travel on. The number of cells follows the number of vectors, so cells keep
-their size as the data grow; a cell that still grows too large is divided by further polytope hashes.
+their size as the data grow; a cell that still grows too large is compared in blocks, all pairs of them.
 """
 
 from __future__ import annotations
@@ -20,9 +20,6 @@ from pyspark.sql import functions as F
 
 from ..session import broadcast_if, cut
 
-#: Hashes that divide cells which outgrow ``max_cell``, one after another.
-DEEPER = 6
-
 
 def _rotations(n: int, dim: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).choice(np.array([-1, 1], np.float32), (n, 3, dim))
@@ -127,6 +124,7 @@ def nearest_vectors(
     broken by the smaller id. Equal vectors (whatever their length was) are searched once and then
     share the result: each has the others first, at cosine 1. Fewer than k + 1 vectors give all
     pairs that meet; an empty table gives no rows. Cells number about rows / cell_rows in each table.
+    A cell of more than max_cell rows is compared whole, in pairs of blocks of about max_cell rows.
     """
     if dim & (dim - 1):
         raise ValueError("dim must be a power of two")
@@ -158,10 +156,10 @@ def _search(units: DataFrame, k: int, dim: int, tables: int, probes: int, cell_r
     n = units.count()
     bits, full = max(1, int(n / cell_rows).bit_length() - 1), (2 * dim).bit_length() - 1
     widths = [dim] * (bits // full) + ([1 << (bits % full - 1)] if bits % full else [])
-    signs = _rotations(tables * (len(widths) + DEEPER), dim, seed).reshape(tables, -1, 3, dim)
+    signs = _rotations(tables * len(widths), dim, seed).reshape(tables, -1, 3, dim)
 
-    def coded(deeper: bool, payload: bool) -> DataFrame:
-        """A row per vector, table and probe; deeper: with the further hashes; payload: with the vector."""
+    def coded(payload: bool) -> DataFrame:
+        """A row per vector, table and probe; payload: with the vector."""
 
         def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             turns = [[_rotation(s) for s in table] for table in signs]
@@ -170,36 +168,22 @@ def _search(units: DataFrame, k: int, dim: int, tables: int, probes: int, cell_r
                 if not len(x):
                     continue
                 for t in range(tables):
-                    cell = _probes(x, turns[t][: len(widths)], widths, probes)
-                    deep = np.zeros((len(x), 0), np.uint8)
-                    if deeper:
-                        deep = np.stack([_axes(x @ m, 1)[0][:, 0] for m in turns[t][len(widths) :]], 1).astype(np.uint8)
+                    cell = _probes(x, turns[t], widths, probes)
                     unit = [b.column(1)] if payload else []
                     for p in range(cell.shape[1]):
                         yield pa.RecordBatch.from_arrays(
-                            [b.column(0), *unit, pa.array(np.full(len(x), t, np.int32)), pa.array(cell[:, p]), _binary(deep)],
-                            ["id", *["unit"][: len(unit)], "t", "cell", "deep"],
+                            [b.column(0), *unit, pa.array(np.full(len(x), t, np.int32)), pa.array(cell[:, p])],
+                            ["id", *["unit"][: len(unit)], "t", "cell"],
                         )
 
-        d = units.mapInArrow(codes, f"id bigint, {'unit binary, ' if payload else ''}t int, cell bigint, deep binary")
-        return d.withColumn("more", F.lit(b"").cast("binary"))
-
-    key = ["t", "cell", "more"]
-    size = lambda d: d.select(*key).groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max_cell)
-    heavy = cut(size(coded(False, False)), "cells")
-    rows = coded(not heavy.isEmpty(), True)
-    for depth in range(1, DEEPER + 1):
-        if heavy.isEmpty():
-            break
-        flag = broadcast_if(heavy.select(*key, F.lit(True).alias("big")), 100_000)
-        rows = rows.join(flag, key, "left").withColumn(
-            "more", F.when(F.col("big"), F.substring("deep", 1, depth)).otherwise(F.col("more"))
-        ).drop("big")
-        heavy = cut(size(rows), "cells")
-    rows = rows.drop("deep")
+        return units.mapInArrow(codes, f"id bigint, {'unit binary, ' if payload else ''}t int, cell bigint")
+
+    key = ["t", "cell"]
+    heavy = cut(coded(False).groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max_cell), "cells")
+    rows = coded(True)
     if heavy.isEmpty():
         rows = rows.withColumn("a", F.lit(0)).withColumn("b", F.lit(0)).withColumn("mine", F.lit(0))
-    else:  # cells that no hash divides: all pairs of blocks of at most max_cell rows
+    else:  # large cells: all pairs of blocks of about max_cell rows
         parts = heavy.select(*key, F.ceil(F.col("n") / max_cell).cast("int").alias("g"))
         rows = rows.join(broadcast_if(parts, 100_000), key, "left").withColumn("g", F.coalesce("g", F.lit(1)))
         rows = rows.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("g")).cast("int"))

@@ -45,6 +45,25 @@ def test_cells_that_cannot_be_divided_are_exact(spark):
     assert np.mean([len(found[i] & set(w)) / 5 for i, w in enumerate(want)]) > 0.9
 
 
+def recall(spark, x, **how):
+    got = nearest_vectors(unit_vectors(frame(spark, enumerate(x)), "w_id", "vec", 64), **how).toPandas()
+    found = got.groupby("id").neighbour.apply(set)
+    return [len(found.get(i, set()) & set(w)) / 5 for i, w in enumerate(brute(x.astype(np.float32).astype(float))[1])]
+
+
+def test_cells_above_the_limit_lose_nothing(spark):
+    x = clustered(1500)
+    assert np.mean(recall(spark, x, max_cell=40)) >= np.mean(recall(spark, x)) - 1e-9 >= 0.95
+
+
+def test_dense_group(spark):
+    """A third of the vectors lie close together, all of them distinct."""
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(size=64) + 0.2 * rng.normal(size=(500, 64)), clustered(1000)])
+    r = recall(spark, x, max_cell=40)
+    assert np.mean(r[:500]) >= 0.9 and np.mean(r) >= 0.9
+
+
 def test_unusable_vectors_and_repeats(spark):
     v = [1.0] + [0.0] * 63
     w = [1.0, 0.1] + [0.0] * 62
