@@ -37,10 +37,9 @@ UPKEEP = ["artykuły", "hasła", "wpisy", "strony", "zalążki", "szablony", "ar
 @dataclass(frozen=True)
 class Settings:
     """labelled: at most so many labelled documents train the model (those with the smallest hash of
-    their id). words: at most so many words, the most frequent, have an embedding."""
+    their id)."""
 
     labelled: int = 8000
-    words: int = 200_000
     buckets: int = 1 << 15
     size: int = 16
     steps: int = 25
@@ -69,12 +68,6 @@ def title_words(df: DataFrame, title: str) -> DataFrame:
     return d.filter((F.size("words") > 0) & ~F.try_element_at("words", F.lit(1)).isin(UPKEEP))
 
 
-def word_rows(texts: DataFrame, text: str) -> DataFrame:
-    """(word, df): in how many rows of texts each word occurs."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower(clean(F.col(text))), F.lit(WORD), F.lit(0)))
-    return texts.select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-
-
 def features(word: str, buckets: int) -> list[int]:
     """Buckets of a word and of its character n-grams of 3 to 5."""
     x = f"<{word}>"
@@ -134,27 +127,23 @@ class Block:
 
 @dataclass
 class Model:
-    """The trained model as one table: for each word the sum of its features' outputs and their number."""
+    """The trained model as one table of outputs by bucket, from which any word has the sum of its features."""
 
-    words: list[str]
     outputs: np.ndarray
-    counts: np.ndarray
     bias: np.ndarray
     subjects: list[str]
     losses: list[float]
 
 
-def train(sentences: DataFrame, vocabulary: list[str], subjects: list[str], s: Settings) -> Model:
+def train(sentences: DataFrame, subjects: list[str], s: Settings) -> Model:
     """sentences: (words, targets array<int> of subject numbers), the training sample."""
     spark, k = sentences.sparkSession, len(subjects)
-    known = spark.sparkContext.broadcast(frozenset(vocabulary))
     names = ("word", "count", "feature", "per_word", "targets")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, targets = [], []
         for b in batches:
             for ws, ts in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ws = [x for x in ws if x in known.value]
                 if ws:
                     words.append(ws)
                     targets.append([float(i in ts) for i in range(k)])
@@ -194,45 +183,52 @@ def train(sentences: DataFrame, vocabulary: list[str], subjects: list[str], s: S
             params[i] = p - s.rate * (first[i] / (1 - 0.9**step)) / (np.sqrt(second[i] / (1 - 0.98**step)) + 1e-8)
         sent.destroy()
     e, w, b = params
-    f = [features(x, s.buckets) for x in vocabulary]
-    counts = np.array([len(x) for x in f], np.float32)
-    e = e @ w
-    outputs = np.stack([e[x].sum(0) for x in f]).astype(np.float32) if f else np.zeros((0, k), np.float32)
-    return Model(list(vocabulary), outputs, counts, b.astype(np.float32), subjects, losses)
+    return Model((e @ w).astype(np.float32), b.astype(np.float32), subjects, losses)
+
+
+#: So many words a task remembers the outputs of, so as not to sum them again.
+REMEMBERED = 100_000
 
 
 def score(rows: DataFrame, model: Model, accept: float) -> DataFrame:
     """rows: any columns and ``words``. The same columns with ``subject`` in place of words: the subject
-    with the highest output if that is at least ``accept``, else null."""
+    with the highest output if that is at least ``accept``, else null. Every word counts, those that
+    the training sample does not have by their n-grams."""
     rest = [f for f in rows.schema.fields if f.name != "words"]
-    shared = rows.sparkSession.sparkContext.broadcast((model.words, model.outputs, model.counts, model.bias, model.subjects))
+    shared = rows.sparkSession.sparkContext.broadcast((model.outputs, model.bias, model.subjects))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, outputs, counts, bias, subjects = shared.value
-        vocabulary = pa.array(words, pa.string())
+        outputs, bias, subjects = shared.value
+        known: dict[str, tuple[np.ndarray, int]] = {}
         names = pa.array(subjects, pa.string())
         for b in batches:
             if not b.num_rows:
                 continue
             lists = b.column(b.num_columns - 1)
             sizes = np.diff(lists.offsets.to_numpy())
-            at = pa.compute.index_in(lists.flatten(), value_set=vocabulary).fill_null(-1).to_numpy(zero_copy_only=False)
-            row = np.repeat(np.arange(b.num_rows), sizes)[at >= 0]
-            at = at[at >= 0]
+            distinct = lists.flatten().dictionary_encode()
+            words, at = distinct.dictionary.to_pylist(), distinct.indices.to_numpy()
+            if len(known) > REMEMBERED:
+                known.clear()
+            if new := [x for x in words if x not in known]:
+                f = [features(x, len(outputs)) for x in new]
+                per_word = np.array([len(x) for x in f], np.int64)
+                sums = np.add.reduceat(outputs[np.array([i for x in f for i in x], np.int64)], _starts(per_word), axis=0)
+                known.update(zip(new, zip(sums, per_word.tolist())))
+            row = np.repeat(np.arange(b.num_rows), sizes)
             z = np.zeros((b.num_rows, len(subjects)), np.float64)
             n = np.zeros(b.num_rows)
             if len(at):
                 first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-                z[row[first]] = np.add.reduceat(outputs[at].astype(np.float64), first, axis=0)
-                n[row[first]] = np.add.reduceat(counts[at], first)
+                by_word = np.array([known[x][0] for x in words], np.float64)
+                z[row[first]] = np.add.reduceat(by_word[at], first, axis=0)
+                n[row[first]] = np.add.reduceat(np.array([known[x][1] for x in words], np.float64)[at], first)
             z = z / np.maximum(n, 1)[:, None] + bias
             best = z.argmax(1)
             ok = (n > 0) & (1 / (1 + np.exp(-z.max(1))) >= accept)
             subject = names.take(pa.array(np.where(ok, best, 0), mask=~ok))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], subject], [*(f.name for f in rest), "subject"])
 
-    import pyarrow.compute  # noqa: F401
-
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), "subject string"])
     return rows.select(*[f"`{f.name}`" for f in rest], "words").mapInArrow(run, schema)
 
@@ -247,26 +243,17 @@ def subject_areas(
     subjects: (subject). categories: (page_id, title) of the links of each page, titles in any spelling.
 
     A text without subject-related sentences has the subject most of its page's categories have (all
-    of those that tie); categories that only serve upkeep and unknown words have none, and such a text
-    may have no row. Null and empty texts count as without sentences. Words in fewer than 20 rows of
-    texts (in a fifth of a percent of them, but 3 or more, in a smaller corpus) are not used. Without
-    labels nothing is found.
+    of those that tie); categories that only serve upkeep have none, and such a text may have no row.
+    Null and empty texts count as without sentences. Every word counts in training and scoring, however
+    rare it is. Without labels nothing is found.
     """
     s = settings or Settings()
     names = [r[0] for r in subjects.select("subject").filter("subject is not null").distinct().orderBy("subject").limit(1001).collect()]
     if len(names) > 1000:
         raise ValueError("more than 1000 subjects")
-    counts = word_rows(texts, "text")
-    n_rows = texts.count()
-    least = max(3, min(20, n_rows // 500))
     pages = categories.filter("page_id is not null and title <> ''")
     canonical = lambda d: d.withColumn("title", canonical_title(F.col("title"))).distinct()
-    # titles are made canonical only after the links are reduced to distinct spellings or to the pages in question
-    all_titles = cut(canonical(pages.select("title").distinct()), "titles")
-    least_titles = max(3, min(20, all_titles.count() // 500))
-    known = counts.filter(F.col("df") >= least).unionByName(word_rows(all_titles, "title").filter(F.col("df") >= least_titles))
-    known = known.groupBy("word").agg(F.sum("df").alias("df")).orderBy(F.desc("df"), "word").limit(s.words)
-    vocabulary = [r[0] for r in known.collect()]
+    # titles are made canonical only after the links are reduced to the pages in question
     number = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.lit(i))]) if names else None
     labelled = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.collect_set("subject").alias("own"))
     labelled = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.labelled)
@@ -276,7 +263,7 @@ def subject_areas(
     titled = sample.select("doc_id", "page_id", "targets").distinct().join(pages, "page_id")
     titled = canonical(titled.select("doc_id", "title", "targets").distinct())
     sample = sentence_words(sample.select("text", "targets"), "text").select("words", "targets").unionByName(title_words(titled, "title").select("words", "targets"))
-    model = train(sample, vocabulary, names, s)
+    model = train(sample, names, s)
 
     found = score(sentence_words(texts.select("doc_id", "text"), "text"), model, s.accept).filter("subject is not null")
     per = found.groupBy("doc_id", "subject").agg(F.count(F.lit(1)).alias("n"))

@@ -74,3 +74,10 @@ def test_without_labels_or_texts(spark):
     docs, _, labels = corpus(spark, 40)
     assert run(spark, docs, [])[0] == {}
     assert run(spark, [], labels)[0] == {}
+
+
+def test_words_that_occur_once_count(spark):
+    docs, _, labels = corpus(spark)
+    docs += [(7000, 888, "Trenerami zawodnikowi pucharowej."), (7001, 889, "Wyrokiem ustawach adwokatami.")]
+    got, _ = run(spark, docs, labels)
+    assert got.get(7000) == {"sport"} and got.get(7001) == {"law"}
