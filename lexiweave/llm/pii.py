@@ -140,17 +140,17 @@ def _rules() -> list[Rule]:
         Rule("phone", c(r"(?<![\w.-])\d{3}-\d{3}-\d{3}(?![.-]?\d)(?!\w)"), 0.5),
         Rule("phone", c(r"(?<![\w.-])\d{3} \d{3} \d{3}(?! \d{3}(?![\d-]))(?![.-]?\d)(?!\w)"), 0.5),
         Rule("phone", c(r"(?<![\w.)-])(?:\(0?\d{2}\)|0\d{2}) ?\d{3}[ -]\d{2}[ -]\d{2}(?! \d{2}(?![\d-]))(?![.-]?\d)(?!\w)"), 0.6),
-        Rule("phone", c(r"(?<![\w.-])\d{9}(?!\w)"), 0.2),
+        Rule("phone", c(r"(?<![\w.-])\d{9}(?!\w)"), 0.3),
         Rule("phone", c(r"(?<![\w+.])(?:\+44|0044) ?(?:\(0\) ?)?\d{2,4} ?\d{3,4} ?\d{3,4}(?!\w)"), 0.8),
         Rule("phone", c(r"(?<![\w+.])(?:\(0\d{3,4}\) ?|0\d{4} )\d{3} ?\d{3}(?!\w)"), 0.6),
         Rule("phone", c(r"(?<![\w+.-])(?:\+1[ .-]?|1-)?(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4}(?![\w-])"), 0.6),
         Rule("phone", c(r"(?<![\w+.])(?:\+49|0049) ?(?:\(0\) ?)?\d{2,5}[ /-]?\d{3,8}(?:[ -]\d{2,6})?(?!\w)"), 0.8),
         Rule("phone", c(r"(?<![\w+.])0\d{2,4}/\d{5,9}(?:-\d{1,4})?(?!\w)"), 0.6),
         Rule("phone", c(r"(?<![\w+.])\+\d{1,3}(?:[ .-]?\d{2,4}){3,4}(?!\w)"), 0.6),
-        Rule("id_number", c(r"(?<![\w.+/=-])\d{6} ?\d{5}(?![\w-])"), 0.4, lambda s: (0.15 if pesel_ok(s) else 0) - (0 if _date_ok(s) else 0.2)),
+        Rule("id_number", c(r"(?<![\w.+/=-])\d{6} ?\d{5}(?![\w-])"), 0.4, lambda s: (0.2 if pesel_ok(s) else 0) - (0 if _date_ok(s) else 0.2)),
         Rule("id_number", c(r"(?<![\w.+/=-])\d{3}-\d{3}-\d{2}-\d{2}(?![\w-])"), 0.5, lambda s: 0.3 if nip_ok(s) else -0.1),
         Rule("id_number", c(r"(?<![\w.+/=-])\d{3}-\d{2}-\d{2}-\d{3}(?![\w-])"), 0.4, lambda s: 0.3 if nip_ok(s) else -0.1),
-        Rule("id_number", c(r"(?<![\w.+/=-])\d{10}(?![\w-])"), 0.0, lambda s: 0.15 if nip_ok(s) else 0),
+        Rule("id_number", c(r"(?<![\w.+/=-])\d{10}(?![\w-])"), 0.3, lambda s: 0.15 if nip_ok(s) else 0),
         Rule("id_number", c(r"(?<![\w.+/=-])[A-Z]{3} ?\d{6}(?![\w-])"), 0.5, lambda s: 0.3 if identity_card_ok(s) else 0, anchor="code"),
         Rule("id_number", c(r"(?<![\w.+/=-])\d{3}([ -])\d{2}\1\d{4}(?![\w-])"), 0.5),
         Rule("id_number", c(r"(?<![\w.+/=-])[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D Z](?![\w-])"), 0.6, anchor="code"),

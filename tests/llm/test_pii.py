@@ -34,11 +34,25 @@ CASES = [
 ]
 
 
+PLAIN = [
+    ("Prosimy o kontakt: tel. 601234567.", [("phone", "601234567")]),
+    ("NIP 5260001246 oraz nr inw. 5260001246", [("id_number", "5260001246")]),
+    ("NIP: 5260001247", [("id_number", "5260001247")]),
+    ("Urodzony w Kielcach, 44051401359, zamieszkały tamże", [("id_number", "44051401359")]),
+    ("nakład 601234567 i 5260001246, 44051401358, ISBN 44051401359", []),
+]
+
+
 @pytest.mark.parametrize("text, want", CASES)
 def test_find(text, want):
     assert [(k, text[a:b]) for a, b, k, _ in find(text)] == want
 
 
+@pytest.mark.parametrize("text, want", PLAIN)
+def test_plain_digits(text, want):
+    assert [(k, text[a:b]) for a, b, k, _ in find(text)] == want
+
+
 def test_validators():
     assert pesel_ok("44051401359") and not pesel_ok("44051401358") and not pesel_ok("1")
     assert nip_ok("123-456-32-18") and not nip_ok("123-456-32-19")
