@@ -183,6 +183,16 @@ PAIR = re.compile(
     rf"|(?:[{UP}]\. ?){{1,2}}{SURNAME}(?![\w@-])|{CAP}(?: {CAP})?(?: [{UP}]\.)? {SURNAME}(?![\w@-])|{SURNAME} [{UP}]\.(?! [{UP}]))"
 )
 GIVEN = frozenset(x.lower() for x in GIVEN_NAMES)
+#: Capitalised words that follow a given name or a letter in names of places and institutions.
+NOT_FAMILY = frozenset(
+    """street road lane avenue close drive way square court terrace place crescent platz park hall island church college school
+    university prize cup airport station bridge county city brytania""".split()
+)
+#: What stands before letters and names that are no person's: streets, patrons, numbering.
+NOT_PERSON = re.compile(
+    r"(?i)(?:\b(?:ul|al|pl|os|św|im|pkt|st)\.|\b(?:ulica|ulicy|aleja|aleje|plac|placu|osiedle|imienia|witamin\w*|grup\w*|klas\w*|typ\w*|punkt\w*|tom|część|rozdział|liga|wariant|plan|"
+    r"vitamin|group|class|type|part|volume|chapter|section|gruppe|klasse|teil|band|abschnitt|saint|sankt))[ \n]*$"
+)
 
 
 def _name_score(text: str, start: int, end: int) -> float:
@@ -197,7 +207,12 @@ def _name_score(text: str, start: int, end: int) -> float:
     if not family or len(given) + len(initials) == 0 and "," in s:
         return 0.0
     others = len(words) - len(given) - len(initials) - 1
-    score = (0.5 if given else 0.2 if initials else 0.0) + (0.25 if SURNAME_ENDS.search(family) else 0.0) - 0.4 * max(0, others)
+    left = text[max(0, start - 40) : start]
+    first = words[0].lower() in GIVEN or words[0].endswith(".")  # a capitalised word before a given name may only begin the sentence
+    base = (0.6 if first else 0.5) if given else (0.6 if first else 0.35) if initials else 0.0
+    if first and (family.lower() in NOT_FAMILY or NOT_PERSON.search(left) or not given and text[:start].endswith("\n") and re.fullmatch("[IVX]+", words[0][:-1])):
+        base -= 0.4
+    score = base + (0.25 if SURNAME_ENDS.search(family) else 0.0) - 0.4 * max(0, others)
     before = BEFORE_NAME.search(text[max(0, start - 40) : start] if start >= 40 else "\n" + text[:start])
     if before and before[1].strip() != "*" or AFTER_NAME.match(text, end):
         score += 0.5

@@ -53,6 +53,22 @@ def test_plain_digits(text, want):
     assert [(k, text[a:b]) for a, b, k, _ in find(text)] == want
 
 
+UNLABELLED = [
+    ("Wczoraj Jan Nowak spotkał się z kolegą, a potem Anna Mazur wyjechała.", ["Jan Nowak", "Anna Mazur"]),
+    ("The house belonged to Paul Smith until 1990.", ["Paul Smith"]),
+    ("Rozmawiał z nim J. Kowalski oraz A. B. Mazur.", ["J. Kowalski", "A. B. Mazur"]),
+    ("Pomagał mu Kowalski J. w pracy.", ["Kowalski J."]),
+    ("Wczoraj Jan poszedł do domu.", []),
+    ("Zawiera witaminę C. Następnie grupa B. Wyniki, ul. J. Słowackiego.", []),
+    ("Charles University and George Street", []),
+]
+
+
+@pytest.mark.parametrize("text, want", UNLABELLED)
+def test_names_without_label(text, want):
+    assert [text[a:b] for a, b, k, _ in find(text) if k == "name"] == want
+
+
 def test_validators():
     assert pesel_ok("44051401359") and not pesel_ok("44051401358") and not pesel_ok("1")
     assert nip_ok("123-456-32-18") and not nip_ok("123-456-32-19")
