@@ -130,10 +130,15 @@ def _rules() -> list[Rule]:
     c = lambda p: re.compile(p)
     dot = r"(?:\.|\[dot\]|\[kropka\]|\(dot\)|\(kropka\)| \(dot\) | \(kropka\) | \[dot\] )"
     at = r"(?:@| @ |\[at\]|\(at\)| \(at\) | \[at\] |\(małpa\)| \(małpa\) )"
-    town = rf"{CAP}(?:-{CAP})?"
+    word = rf"{CAP}(?:-{CAP})*"
+    # the further words of a town must not begin the next sentence: neither one of these nor a word with a verb or the like after it
+    following = r"(?!(?:Tel|Fax|Kom|Nr|Str|PESEL|NIP|ISBN|ID|Pisz|Dzwoni|Kontakt|Mail|Adres|Odbi|Prosz|Przesy|Mieszka|Zdj|Call|Write|Contact|Phone|Lives|Anruf|Wohnt|Hinweise|Ausweis|Unterschrift|Signed|Autor|Hasło)\w*)"
+    inside = rf"(?![\w-])(?! (?!(?:oraz|i|a|lub|albo|tel|kom|fax|nr|w|we|do|od|z|jest|and|or|und|oder|am|an|in|im|bei|upon|on|nad)\b)[{LOW}])"
+    town = rf"{word}(?: (?:(?:am|an der|in der|im|bei|upon|on|nad|i) )?{following}{word}{inside}){{0,3}}"
     # a town without postcode must not begin the next sentence
-    lone = rf"(?:, (?!(?:Tel|Fax|Kom|Nr|Str|PESEL|NIP|ISBN|ID)\b){town}(?= *(?:[.,;<\[\n)]|[–-](?:[\s<]|$)|$)| [{UP}\d]| (?:tel|kom|nr|wersja|dowód)\b))?"
-    street = rf"(?:\d{{1,2}} )?{CAP}(?: {CAP})?"
+    lone = rf"(?:, (?!(?:Tel|Fax|Kom|Nr|Str|PESEL|NIP|ISBN|ID)\b){town}(?= *(?:[.,;<\[\n()]|[–-](?:[\s<]|$)|$)| [{UP}\d]| (?:tel|kom|nr|wersja|dowód)\b))?"
+    title = r"(?:(?i:ks|bp|abp|kard|gen|płk|ppłk|mjr|kpt|por|rtm|marsz|hetm|adm|św|bł|dr|prof|inż|o)\. ?)"
+    street = rf"(?:\d{{1,2}} )?{title}{{0,3}}(?:[{UP}]\. ?){{0,2}}{word}(?: (?:i |{title})?{word}){{0,4}}"
     return [
         Rule("email", c(rf"(?<![\w.+@=/-])[\w][\w.+-]*{at}[\w-]+(?:{dot}[\w-]+)*{dot}[A-Za-z]{{2,}}(?![\w@])"), 0.9, anchor="at"),
         Rule("phone", c(r"(?<![\w+.])(?:\+48|0048|\(\+48\)|\(0048\))[ .-]?(?:\d{3}[ .-]?\d{3}[ .-]?\d{3}|\d{2}[ .-]?\d{3}[ .-]?\d{2}[ .-]?\d{2})(?![\w-]*\d)"), 0.8),

@@ -69,6 +69,26 @@ def test_names_without_label(text, want):
     assert [text[a:b] for a, b, k, _ in find(text) if k == "name"] == want
 
 
+ADDRESSES = [
+    "ul. Polna 5, 33-300 Nowy Sącz", "ul. Polna 5, 65-001 Zielona Góra", "ul. Polna 5, 43-300 Bielsko-Biała", "ul. Polna 5, 05-100 Nowy Dwór Mazowiecki",
+    "ul. Marii Skłodowskiej-Curie 5", "ul. ks. Jerzego Popiełuszki 4", "ul. św. Jana Pawła II 12", "al. gen. Władysława Andersa 7, 00-201 Warszawa", "ul. 11 Listopada 3, 97-300 Piotrków Trybunalski",
+    "ul. Polna 5, Nowy Sącz", "Lindenweg 9, 60311 Frankfurt am Main", "11 Quarry Street, Milton Keynes, MK9 3XX",
+]
+
+
+@pytest.mark.parametrize("address", ADDRESSES)
+def test_long_towns_and_streets(address):
+    for after in (".", ", tel. +48 119 962 954", "\nPisz", " (dom)"):
+        x = f"Adres: {address}{after}"
+        assert [(k, x[a:b]) for a, b, k, _ in find(x) if k != "phone"] == [("address", address)]
+
+
+def test_a_town_ends_before_a_sentence():
+    for after in (" Pisz na adres", " oraz dom", " Sekretariat odbiera"):
+        x = f"ul. Polna 5, 33-300 Nowy Sącz{after}"
+        assert [x[a:b] for a, b, _, _ in find(x)] == ["ul. Polna 5, 33-300 Nowy Sącz"]
+
+
 def test_validators():
     assert pesel_ok("44051401359") and not pesel_ok("44051401358") and not pesel_ok("1")
     assert nip_ok("123-456-32-18") and not nip_ok("123-456-32-19")
