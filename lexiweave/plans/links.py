@@ -9,7 +9,7 @@ from ..functions.titles import canonical_sql, canonical_title
 from ..operators.hierarchy import Hierarchy, hierarchy
 from ..operators.hot_keys import Merge, tree_aggregate
 from ..operators.references import key_states, unresolved_references
-from ..session import load
+from ..session import cut, load, skew_join
 
 #: Fixed value: the namespace of category pages.
 CATEGORY_NAMESPACE = 14
@@ -20,8 +20,8 @@ def category_hierarchy(spark: SparkSession, sf_dir: str, **how: bool) -> Hierarc
     nodes = page.select(F.col("page_id").cast("bigint").alias("id"), canonical_title(F.col("page_title")).alias("title"))
     titles = nodes.filter("title <> ''").groupBy("title").agg(F.min("id").alias("parent"))
     sub = load(spark, sf_dir, "categorylinks").filter(F.lower(F.trim("cl_type")) == "subcat")
-    edges = sub.select(F.col("cl_from").cast("bigint").alias("child"), canonical_title(F.col("cl_to")).alias("title"))
-    return hierarchy(nodes, edges.join(titles, "title"), **how)
+    edges = cut(sub.select(F.col("cl_from").cast("bigint").alias("child"), canonical_title(F.col("cl_to")).alias("title")).distinct(), "subcats")
+    return hierarchy(nodes, skew_join(edges, cut(titles, "titles"), ["title"], "inner"), **how)
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
