@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import load
+from ..session import cut, load
 from .leakage import leaked_passages
 from .mixing import Mix, count_tokens, mix_sources
-from .neighbours import nearest_vectors, unit_vectors
-
+from .neighbours import exact_neighbours, nearest_vectors, recall_of, unit_vectors
 from .pii import personal_information
 from .subjects import subject_areas
 
@@ -17,11 +16,15 @@ from .subjects import subject_areas
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
+def word_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, unit) of every word with a usable vector."""
+    words = load(spark, sf_dir, "words").filter(F.col("w_word").rlike(r"\S")).select("w_id").distinct()
+    return unit_vectors(load(spark, sf_dir, "word_vectors").join(words, "w_id", "left_semi"), "w_id", "vec", 64)
+
+
 def similar_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, neighbour, cosine): the 5 most similar other words of every word with a usable vector."""
-    words = load(spark, sf_dir, "words").filter(F.col("w_word").rlike(r"\S")).select("w_id").distinct()
-    vectors = load(spark, sf_dir, "word_vectors").join(words, "w_id", "left_semi")
-    return nearest_vectors(unit_vectors(vectors, "w_id", "vec", 64), k=5, dim=64)
+    return nearest_vectors(word_units(spark, sf_dir), k=5, dim=64)
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +37,28 @@ def p1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select(F.col("id").alias("w_id"), F.col("neighbour").alias("similar_w_id"), F.round("cosine", 6).alias("cosine"))
 
 
+def p1_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 most similar words of the query set (ids divisible by 50) by comparison with all words."""
+    units = cut(word_units(spark, sf_dir), "units")
+    near = exact_neighbours(units, units.filter("id % 50 = 0"), k=5, dim=64)
+    return near.select(F.col("id").alias("w_id"), F.col("neighbour").alias("similar_w_id"))
+
+
+def p1_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of the query set's 5 most similar words the search finds."""
+    units = cut(word_units(spark, sf_dir), "units")
+    exact = cut(exact_neighbours(units, units.filter("id % 50 = 0"), k=5, dim=64), "exact")
+    return recall_of(nearest_vectors(units, k=5, dim=64), exact, 5)
+
+
+P1_EXACT_SQL = r"""
+WITH w AS (SELECT DISTINCT w_id FROM words WHERE regexp_matches(w_word, '\S')),
+v AS (SELECT w_id, min(list_transform(vec, lambda x: x::DOUBLE)) AS vec FROM word_vectors SEMI JOIN w USING (w_id)
+      WHERE len(vec) = 64 AND list_bool_and(list_transform(vec, lambda x: coalesce(isfinite(x), false))) AND list_bool_or(list_transform(vec, lambda x: x <> 0)) GROUP BY w_id),
+c AS (SELECT a.w_id, b.w_id AS similar_w_id, list_cosine_similarity(a.vec, b.vec) AS cosine FROM v a JOIN v b ON a.w_id <> b.w_id AND a.w_id % 50 = 0)
+SELECT w_id, similar_w_id FROM (SELECT *, row_number() OVER (PARTITION BY w_id ORDER BY cosine DESC, similar_w_id) AS r FROM c) WHERE r <= 5"""
+
+
 def article_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, page_id, text): the documents, and the lines of the other articles, repeated lines once."""
     cols = [F.col("doc_id"), F.col("page_id").cast("bigint").alias("page_id")]
@@ -108,6 +133,8 @@ def p8_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p1_found": (p1_found, None),
     "p1_neighbours": (p1_neighbours, None),
+    "p1_exact": (p1_exact, P1_EXACT_SQL),
+    "p1_recall": (p1_recall, None),
     "p2_found": (p2_found, None),
     "p2_composition": (p2_composition, None),
     "p6_found": (p6_found, P6_FOUND_SQL),
