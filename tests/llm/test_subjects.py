@@ -1,6 +1,8 @@
 import random
 
-from lexiweave.llm.subjects import Settings, subject_areas
+import numpy as np
+
+from lexiweave.llm.subjects import Block, Settings, features, subject_areas
 
 NOUNS = {"sport": "bramka puchar trener mecz zawodnik".split(), "law": "sąd wyrok ustawa umowa adwokat".split(), "music": "nuta chór opera akord rytm".split(),
          "cuisine": "sos farsz owoc placek zupa".split(), "history": "wojna król zamek traktat najazd".split(), "software": "plik kod serwer skrypt moduł".split()}
@@ -81,3 +83,39 @@ def test_words_that_occur_once_count(spark):
     docs += [(7000, 888, "Trenerami zawodnikowi pucharowej."), (7001, 889, "Wyrokiem ustawach adwokatami.")]
     got, _ = run(spark, docs, labels)
     assert got.get(7000) == {"sport"} and got.get(7001) == {"law"}
+
+
+def test_words_never_seen_count_by_their_stems(spark):
+    """No word of the text is in the training sample, only other forms of its stems are."""
+    docs, _, labels = corpus(spark)
+    text = "Zawodnikowaniem trenerowaniem bramkarzowych. Meczowanie pucharowatymi zawodnikarsko."
+    seen = {w for _, _, t in docs for w in t.lower().replace(".", " ").split()}
+    assert not seen & set(text.lower().replace(".", " ").split())
+    got, model = run(spark, [*docs, (7500, 1, text)], labels)
+    assert got.get(7500) == {"sport"} and min(model.held) < model.held[0]
+
+
+def test_features():
+    both, n = features(["kot", "żółw", "ab"], 1 << 15)
+    assert list(n) == [1 + 3 + 2 + 1, 1 + 4 + 3 + 2, 1 + 2 + 1]
+    alone = [list(features([w], 1 << 15)[0]) for w in ("kot", "żółw", "ab")]
+    assert list(both) == sum(alone, []) and set(features(["kotek"], 1 << 15)[0]) & set(alone[0]) and len(features([], 8)[0]) == 0
+
+
+def test_gradient_against_differences():
+    """The gradient of the loss over the sentences to learn from, by finite differences."""
+    rng = np.random.default_rng(0)
+    b = Block([["ala", "kot"], ["kot", "pies", "kot"], ["ala"]], np.array([[1.0, 0], [0, 1], [1, 1]]), np.array([True, True, False]), 40)
+    b = Block.unpack(b.pack(), 2)
+    e, w, bias = rng.normal(size=(40, 3)), rng.normal(size=(3, 2)), rng.normal(size=2)
+    ge, gw, gb, loss = b.gradient(e, w, bias)
+    for p, g in ((e, ge), (w, gw), (bias, gb)):
+        for at in list(np.ndindex(p.shape))[:25]:
+            kept = p[at]
+            p[at] = kept + 1e-4
+            up = b.gradient(e, w, bias)[3][0]
+            p[at] = kept - 1e-4
+            down = b.gradient(e, w, bias)[3][0]
+            p[at] = kept
+            assert abs((float(up) - float(down)) / 2e-4 - g[at]) < 2e-2
+    assert loss[1] > 0
