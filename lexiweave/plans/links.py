@@ -63,31 +63,66 @@ d(top, id, k) AS (SELECT n.id, n.id, 0 FROM n UNION ALL SELECT d.top, e.child, k
 SELECT top AS ancestor, id AS descendant, k AS distance FROM d WHERE k > 0"""
 
 
+def page_records(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(page_id, namespace, title, load_ts) of the pages, and (.., deleted_ts, restored_ts) of their deletions."""
+    page, gone = load(spark, sf_dir, "page"), load(spark, sf_dir, "page_deletions")
+    key = [F.col("page_id").cast("bigint").alias("page_id"), F.col("page_namespace").cast("int").alias("namespace"), canonical_title(F.col("page_title")).alias("title")]
+    return page.select(*key, F.col("load_ts").cast("timestamp_ntz").alias("load_ts")), gone.select(*key, "deleted_ts", "restored_ts")
+
+
 def unresolved_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(cl_id, ref_field, reason, period) of the link references that lead nowhere; one link may give two."""
-    page, gone = load(spark, sf_dir, "page"), load(spark, sf_dir, "page_deletions")
+    pages, deletions = page_records(spark, sf_dir)
     links = load(spark, sf_dir, "categorylinks")
-    ident = F.col("page_id").cast("bigint")
-    space = F.col("page_namespace").cast("int")
-    title = canonical_title(F.col("page_title"))
-    pages = page.select(ident.alias("page_id"), space.alias("namespace"), title.alias("title"), F.col("load_ts").cast("timestamp_ntz").alias("load_ts"))
-    deletions = gone.select(ident.alias("page_id"), space.alias("namespace"), title.alias("title"), "deleted_ts", "restored_ts")
-    period = F.coalesce(F.date_format("cl_timestamp", "yyyy-MM"), F.lit("unknown"))
-    base = [F.col("cl_id").cast("bigint").alias("cl_id"), period.alias("period"), F.col("load_ts").cast("timestamp_ntz").alias("load_ts")]
-    no_zero = F.nullif(F.col("cl_from").cast("bigint"), F.lit(0).cast("bigint"))
+    # one scan for both fields, in which each title is made canonical once
+    refs = cut(links.select(
+        F.col("cl_id").cast("bigint").alias("cl_id"), F.coalesce(F.date_format("cl_timestamp", "yyyy-MM"), F.lit("unknown")).alias("period"),
+        F.col("load_ts").cast("timestamp_ntz").alias("load_ts"), F.nullif(F.col("cl_from").cast("bigint"), F.lit(0).cast("bigint")).alias("page_id"),
+        F.lit(CATEGORY_NAMESPACE).alias("namespace"), F.nullif(canonical_title(F.col("cl_to")), F.lit("")).alias("title"),
+    ), "references")
     by_id = unresolved_references(
-        links.select(*base, no_zero.alias("page_id")),
+        refs.select("cl_id", "period", "load_ts", "page_id"),
         key_states(pages.withColumn("record", F.col("page_id")), deletions.withColumn("record", F.col("page_id")), ["page_id"], "record"),
         ["page_id"], "load_ts",
     )
     by_title = unresolved_references(
-        links.select(*base, F.lit(CATEGORY_NAMESPACE).alias("namespace"), F.nullif(canonical_title(F.col("cl_to")), F.lit("")).alias("title")),
+        refs.select("cl_id", "period", "load_ts", "namespace", "title"),
         key_states(pages, deletions, ["namespace", "title"], "page_id"), ["namespace", "title"], "load_ts",
     )
     out = lambda df, field: df.select("cl_id", F.lit(field).alias("ref_field"), "reason", "period")
     return out(by_id, "cl_from").unionByName(out(by_title, "cl_to"))
 
 
+#: The namespace that a link's type says its page has.
+TYPE_NAMESPACE = {"page": 0, "subcat": 14, "file": 6}
+
+
+def typed_links(spark: SparkSession, sf_dir: str, match: str) -> DataFrame:
+    """(cl_id, reason) of the links whose page, by id and by the namespace of the link's type, does not exist. Either column may be null."""
+    pages, deletions = page_records(spark, sf_dir)
+    kind = F.lower(F.trim("cl_type"))
+    space = F.coalesce(*[F.when(kind == k, F.lit(n)) for k, n in TYPE_NAMESPACE.items()])
+    refs = load(spark, sf_dir, "categorylinks").select(
+        F.col("cl_id").cast("bigint").alias("cl_id"), F.nullif(F.col("cl_from").cast("bigint"), F.lit(0).cast("bigint")).alias("page_id"), space.alias("namespace"),
+        F.col("load_ts").cast("timestamp_ntz").alias("load_ts"),
+    )
+    by = lambda d: d.withColumn("record", F.col("page_id"))
+    states = key_states(by(pages), by(deletions), ["page_id", "namespace"], "record")
+    return unresolved_references(cut(refs, "references"), cut(states, "states"), ["page_id", "namespace"], "load_ts", match).select("cl_id", "reason")
+
+
+def p4_simple(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return typed_links(spark, sf_dir, "simple")
+
+
+def p4_partial(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return typed_links(spark, sf_dir, "partial")
+
+
+def p4_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return typed_links(spark, sf_dir, "full")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unresolved_links(spark, sf_dir).distinct()
 
@@ -109,6 +144,24 @@ FROM l WHERE gone OR present IS NOT TRUE OR seen > load_ts"""
 P4_REPORT_SQL = f"SELECT ref_field, period, reason, count(*) AS n FROM ({P4_FOUND_SQL}) GROUP BY ALL"
 
 
+_P4_TYPED = """
+WITH g AS (SELECT page_id, page_namespace ns, max_by(restored_ts IS NULL, (deleted_ts, restored_ts IS NULL)) gone FROM page_deletions GROUP BY ALL),
+p AS (SELECT page_id, page_namespace ns, min(load_ts) seen FROM page GROUP BY ALL),
+k AS (SELECT coalesce(p.page_id, g.page_id) id, coalesce(p.ns, g.ns) ns, seen, p.page_id IS NOT NULL present, coalesce(gone, false) gone FROM p FULL JOIN g ON p.page_id = g.page_id AND p.ns = g.ns),
+r AS (SELECT cl_id, nullif(cl_from, 0) id, CASE lower(trim(cl_type)) WHEN 'page' THEN 0 WHEN 'subcat' THEN 14 WHEN 'file' THEN 6 END ns, load_ts FROM categorylinks),
+kb AS (SELECT id, ns, bool_or(present) present, bool_and(gone) gone, min(seen) seen FROM k GROUP BY ALL),
+ki AS (SELECT id, bool_or(present) present, bool_and(gone) gone, min(seen) seen FROM k GROUP BY ALL),
+kn AS (SELECT ns, bool_or(present) present, bool_and(gone) gone, min(seen) seen FROM k GROUP BY ALL),
+both_ AS (SELECT r.*, present, gone, seen FROM r LEFT JOIN kb USING (id, ns) WHERE r.id IS NOT NULL AND r.ns IS NOT NULL),
+part AS (SELECT r.*, present, gone, seen FROM r LEFT JOIN ki USING (id) WHERE r.id IS NOT NULL AND r.ns IS NULL
+         UNION ALL SELECT r.*, present, gone, seen FROM r LEFT JOIN kn USING (ns) WHERE r.id IS NULL AND r.ns IS NOT NULL)
+"""
+_P4_CASE = "SELECT CAST(cl_id AS BIGINT) AS cl_id, CASE WHEN gone THEN 'deleted' WHEN present IS NOT TRUE THEN 'missing' ELSE 'late' END AS reason FROM {} WHERE gone OR present IS NOT TRUE OR seen > load_ts"
+P4_SIMPLE_SQL = _P4_TYPED + _P4_CASE.format("both_")
+P4_PARTIAL_SQL = _P4_TYPED + _P4_CASE.format("(SELECT * FROM both_ UNION ALL SELECT * FROM part)")
+P4_FULL_SQL = P4_SIMPLE_SQL + " UNION ALL SELECT CAST(cl_id AS BIGINT), 'partial_null' FROM part"
+
+
 def category_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per canonical category: links, distinct members, first and last link."""
     links = load(spark, sf_dir, "categorylinks").select(
@@ -154,6 +207,9 @@ QUERIES = {
     "p3_descendants": (p3_descendants, P3_DESCENDANTS_SQL),
     "p4_found": (p4_found, P4_FOUND_SQL),
     "p4_report": (p4_report, P4_REPORT_SQL),
+    "p4_simple": (p4_simple, P4_SIMPLE_SQL),
+    "p4_partial": (p4_partial, P4_PARTIAL_SQL),
+    "p4_full": (p4_full, P4_FULL_SQL),
     "p5_found": (p5_found, P5_FOUND_SQL),
     "p5_category_members": (p5_category_members, P5_MEMBERS_SQL),
 }
