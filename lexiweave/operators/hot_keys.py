@@ -2,9 +2,10 @@
 
 The input is cut into chunks of a fixed number of rows, where they lie: a chunk never crosses an
 input partition, so the first combine runs wholly before any shuffle and moves one state per key and
-chunk. States are then merged in rounds of a fixed fan-in, keyed by (key, chunk group), until one
-group is left: a key with a third of all rows sends each reducer at most ``fan_in`` states, and the
-number of rounds is the logarithm of the number of chunks.
+chunk. The states of hot keys are then merged in rounds of a fixed fan-in, keyed by (key, chunk group),
+until one group is left: a key with a third of all rows sends each reducer at most ``fan_in`` states, and
+the number of rounds is the logarithm of the number of chunks. Keys with few states don't climb the tree;
+they take one shuffle.
 """
 
 from __future__ import annotations
@@ -56,9 +57,17 @@ def tree_aggregate(
     parts, pieces = most[0] + 1, most[1] + 1
     level = level.withColumn("_chunk", F.col("_piece") * F.lit(parts) + F.col("_part")).drop("_part", "_piece")
     groups = parts * pieces
-    while True:
+    states = [m.again() for m in values.values()]
+    if groups <= fan_in:
+        return level.groupBy(*keys).agg(*states)
+    # hot: more than 1 / (4 x shuffle partitions) of all states, so there are at most that many such keys
+    bound = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    few = level.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > max(fan_in, level.count() // bound)).select(*keys)
+    hot = df.sparkSession.createDataFrame(few.limit(bound).collect(), few.schema).select(*[F.col(f"`{k}`").alias(f"_h{i}") for i, k in enumerate(keys)])
+    flagged = level.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), [F.col(f"`{k}`").eqNullSafe(F.col(f"_h{i}")) for i, k in enumerate(keys)], "left")
+    tail = flagged.filter("_hot is null").groupBy(*keys).agg(*states)
+    level = flagged.filter("_hot")
+    while groups > 1:
         groups = -(-groups // fan_in)
-        level = level.withColumn("_chunk", F.floor(F.col("_chunk") / fan_in))
-        level = level.groupBy(*keys, "_chunk").agg(*[m.again() for m in values.values()])
-        if groups == 1:
-            return level.drop("_chunk")
+        level = level.withColumn("_chunk", F.floor(F.col("_chunk") / fan_in)).groupBy(*keys, "_chunk").agg(*states)
+    return tail.unionByName(level.drop("_chunk"))

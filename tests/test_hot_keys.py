@@ -38,3 +38,11 @@ def test_skew_join_is_a_join(spark):
         a = sorted(map(str, skew_join(left, right, ["k"], how).select("k", "i", "r").collect()))
         assert a == sorted(map(str, left.join(right, ["k"], how).select("k", "i", "r").collect()))
     assert at_most(left, 301) and not at_most(left, 300)
+
+
+def test_only_hot_keys_climb_the_tree(spark):
+    """A hot key and a hot null key among many keys of one row, over more chunks than the fan-in."""
+    rows = [(None if i % 5 == 1 else "hot" if i % 5 < 4 else f"k{i}", i) for i in range(2000)]
+    d = spark.createDataFrame(rows, "k string, _hot int").repartition(6)
+    got = {r.k: (r.n, r.last) for r in tree_aggregate(d, ["k"], [Merge("n", F.lit(1)), Merge("last", F.col("_hot"), "max")], 10, 3).collect()}
+    assert got["hot"] == (1200, 1998) and got[None] == (400, 1996) and len(got) == 402 and all(v[0] == 1 for k, v in got.items() if k not in ("hot", None))
