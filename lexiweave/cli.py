@@ -7,6 +7,7 @@ classify --auto NEW_ARTICLES ARTICLES WORK               word counts where missi
 bestCategories SIMILARITIES [K]                          predicted labels
 fold COUNTS OUT                                          counts and categories in folders by fold
 crossvalidate FOLDS OUT                                  predicted labels of every article from the other folds
+crossvalidate --pairs FOLDS OUT                          similarities of the articles of every fold to those of the others
 crossvalidate --auto ARTICLES WORK                       word counts where missing, folds, labels, scores, average
 cvscores PREDICTED FOLDS OUT                             per-article metrics
 cvscores --auto WORK                                     metrics and average of an earlier crossvalidate --auto
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import argparse
 import sys
+import time
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .config import Settings
 from .operators import evaluate, features, knn, similarity
-from .session import exists
+from .session import finished, has_files
 from .sources import dump, tables
 
 
@@ -33,10 +35,9 @@ def _articles(spark: SparkSession, path: str) -> DataFrame:
     """Articles from Parquet, an XML dump, or a folder with one text file per article."""
     if path.endswith(".xml"):
         return dump.upsert_articles(dump.read_dump(spark, path))
-    try:
+    if finished(spark, path) or has_files(spark, path, "*.parquet"):
         return spark.read.parquet(path).select("title", "body")
-    except Exception:  # not Parquet
-        return dump.read_article_folder(spark, path, strip_extension=False)
+    return dump.read_article_folder(spark, path, strip_extension=False)
 
 
 def _word_count(spark: SparkSession, source: str, out: str, s: Settings) -> None:
@@ -62,6 +63,25 @@ def _cross_validate(spark: SparkSession, folds: str, out: str, s: Settings) -> N
     p.write.mode("overwrite").parquet(out)
 
 
+def _pairs(spark: SparkSession, folds: str, out: str, s: Settings) -> None:
+    """The pairs of every fold, each from its own folder and those of the other folds."""
+    cats = tables.read_folds(spark, f"{folds}/cats").drop("fold")
+    for f in range(s.folds):
+        test, train = tables.read_folds(spark, f"{folds}/tf", test=f), tables.read_folds(spark, f"{folds}/tf", train=f)
+        evaluate.fold_pairs(test, train, cats).write.mode("overwrite").parquet(f"{out}/fold={f}")
+
+
+def _classify(spark: SparkSession, corpus: str, new: str, out: str, s: Settings) -> None:
+    """Similarities of the new articles; repeated as often as the settings say, to be timed."""
+    tf, cats = _counts(spark, corpus)
+    for _ in range(s.classify_repetitions):
+        started = time.perf_counter()
+        similarity.similarities(tf, cats, _counts(spark, new)[0]).write.mode("overwrite").parquet(out)
+        best = knn.top_k(spark.read.parquet(out), s.k).count()
+        if s.classify_repetitions > 1:
+            print(f"{best} neighbours in {time.perf_counter() - started:.1f} s", file=sys.stderr)
+
+
 def _scores(spark: SparkSession, predicted: str, folds: str, out: str) -> None:
     cats = tables.read_folds(spark, f"{folds}/cats").drop("fold")
     evaluate.compare(features.category_lists(cats), spark.read.parquet(predicted)).write.mode("overwrite").parquet(out)
@@ -87,6 +107,7 @@ def run(argv: list[str], spark: SparkSession | None = None) -> int:
         v.add_argument("--auto", action="store_true")
         v.add_argument("--push", action="store_true")
         v.add_argument("--local", action="store_true")
+        v.add_argument("--pairs", action="store_true")
         v.add_argument("--dictionary")
         for n in ("--start", "--skip", "--max"):
             v.add_argument(n, type=int, default=-1)
@@ -110,11 +131,10 @@ def run(argv: list[str], spark: SparkSession | None = None) -> int:
         new, corpus, out = a[0], a[1], a[2]
         if o.auto:
             for source, work in ((new, f"{out}/new"), (corpus, f"{out}/corpus")):
-                if not exists(spark, f"{work}/cats"):
+                if not finished(spark, f"{work}/cats"):
                     _word_count(spark, source, work, s)
             new, corpus, out = f"{out}/new", f"{out}/corpus", f"{out}/similarities"
-        tf, cats = _counts(spark, corpus)
-        similarity.similarities(tf, cats, _counts(spark, new)[0]).write.mode("overwrite").parquet(out)
+        _classify(spark, corpus, new, out, s)
         if o.auto:
             _show(knn.predict(spark.read.parquet(out), s.k, s.classifier_precision).orderBy("query", F.desc("votes"), "category"))
     elif o.verb == "bestCategories":
@@ -125,15 +145,15 @@ def run(argv: list[str], spark: SparkSession | None = None) -> int:
     elif o.verb == "crossvalidate":
         if o.auto:
             work = a[1]
-            if not exists(spark, f"{work}/counts/cats"):
+            if not finished(spark, f"{work}/counts/cats"):
                 _word_count(spark, a[0], f"{work}/counts", s)
             _fold(spark, f"{work}/counts", f"{work}/folds", s)
             _cross_validate(spark, f"{work}/folds", f"{work}/predicted", s)
             _score_and_average(spark, work)
         else:
-            _cross_validate(spark, a[0], a[1], s)
+            (_pairs if o.pairs else _cross_validate)(spark, a[0], a[1], s)
     elif o.verb == "cvscores" and o.auto:
-        if not exists(spark, f"{a[0]}/predicted"):
+        if not finished(spark, f"{a[0]}/predicted"):
             print("crossvalidate --auto has not run there", file=sys.stderr)
             return 1
         _score_and_average(spark, a[0])

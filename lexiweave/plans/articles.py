@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.wikitext import CATEGORY, NOISE, TOKEN, base_name, category_names, sanitize_title, strip_noise, tokens
 from ..operators import evaluate, features, knn, legacy, similarity
 from ..session import cut, load, new_path, spread
-from ..sources.dump import positional_sample, read_dump, upsert_articles, write_dump
+from ..sources.dump import number_rows, positional_sample, read_article_folder, read_dump, upsert_articles, write_article_folder, write_dump
+from ..sources.tables import CATEGORY_MARK, CATEGORYLINKS, read_dictionary, read_folds, read_legacy, read_term_rows, write_folds, write_term_rows
 
 # ---- shared inputs
 
@@ -32,9 +34,9 @@ def dictionary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def query_tf(tf: DataFrame, spark: SparkSession, d: str) -> DataFrame:
-    """The vector of the one article that is classified: the first by id."""
-    first = load(spark, d, "documents").agg(F.min("doc_id").alias("i")).select(F.concat(F.lit("doc_"), F.col("i")).alias("title"))
-    return tf.join(F.broadcast(first), "title", "left_semi")
+    """The vectors of the query set: the documents with an id divisible by 50."""
+    q = load(spark, d, "documents").filter("doc_id % 50 = 0").select(F.concat(F.lit("doc_"), F.col("doc_id")).alias("title"))
+    return tf.join(q, "title", "left_semi")
 
 
 def folded(spark: SparkSession, d: str) -> DataFrame:
@@ -54,7 +56,7 @@ _TF = "tf AS (SELECT title, term, count(*) AS cnt FROM tok GROUP BY ALL)"
 _LISTS = "li AS (SELECT title, list_sort(list(category)) AS categories FROM cats GROUP BY title)"
 _BASE = f"WITH {_ART}, {_CLEAN}, {_CATS}, {_TOK}, {_TF}, {_LISTS}"
 _NORM = "nm AS (SELECT title, sum(cnt * cnt) AS q FROM tf GROUP BY title)"
-_QUERY = "qt AS (SELECT * FROM tf WHERE title = (SELECT 'doc_' || min(doc_id) FROM documents))"
+_QUERY = "qt AS (SELECT * FROM tf WHERE title IN (SELECT 'doc_' || doc_id FROM documents WHERE doc_id % 50 = 0))"
 _SIM = """sim AS (SELECT a.query, a.title, a.dot / (sqrt(n.q::DOUBLE) * sqrt(m.q::DOUBLE)) AS similarity, li.categories FROM
  (SELECT qt.title AS query, tf.title, sum(tf.cnt * qt.cnt) AS dot FROM tf JOIN qt USING (term) GROUP BY ALL) a
  JOIN li ON li.title = a.title JOIN nm n ON n.title = a.title JOIN nm m ON m.title = a.query)"""
@@ -79,8 +81,13 @@ _DICT = "dict AS (SELECT form, max(lexeme) AS lexeme FROM dictionary WHERE form
 # ---- queries
 
 
+def dense_index(spark, d):
+    """(doc_id, title, index): the documents in the order of their ids, numbered from 0."""
+    return number_rows(load(spark, d, "documents").select("doc_id", "title").orderBy("doc_id"))
+
+
 def positional_sample_(spark, d):
-    return positional_sample(load(spark, d, "documents").select(F.col("doc_id").alias("index"), "title"), 1, 2, 3000).select(F.col("index").alias("doc_id"), "title")
+    return positional_sample(dense_index(spark, d), 1, 2, 3000)
 
 
 def title_sanitize(spark, d):
@@ -146,11 +153,11 @@ def categorized_only(spark, d):
 
 
 def knn_top_k(spark, d):
-    return knn.top_k(_sim(spark, d), 2).select("query", "title", F.round("similarity", 12).alias("similarity"), F.col("rank").cast("bigint").alias("rank"))
+    return knn.top_k(_sim(spark, d, k=2), 2).select("query", "title", F.round("similarity", 12).alias("similarity"), F.col("rank").cast("bigint").alias("rank"))
 
 
 def vote_and_cut(spark, d):
-    return knn.predict(_sim(spark, d), 2, 1.0)
+    return knn.predict(_sim(spark, d, k=2), 2, 1.0)
 
 
 def assign_folds(spark, d):
@@ -201,13 +208,67 @@ def dictionary_words(spark, d):
 
 
 def fold_pruned_counts(spark, d):
-    """Test and train sizes of every fold."""
-    n = fold_sizes(spark, d)
-    return n.select("fold", F.col("n").alias("test"), (F.sum("n").over(W.partitionBy(F.lit(1))) - F.col("n")).alias("train"))
+    """Test and train sizes of every fold, from the folders of the fold and of the other folds."""
+    path = new_path(spark, "folds")
+    write_folds(folded(spark, d), path)
+    parts = []
+    for f in range(10):
+        for side, rows in (("test", read_folds(spark, path, test=f)), ("train", read_folds(spark, path, train=f))):
+            parts.append(rows.select(F.lit(f).alias("fold"), F.lit(side == "test").cast("bigint").alias("test"), F.lit(side == "train").cast("bigint").alias("train")))
+    return reduce(DataFrame.unionByName, parts).groupBy("fold").agg(F.sum("test").alias("test"), F.sum("train").alias("train"))
+
+
+def dictionary_file(spark, d):
+    """The dictionary written as a tab-separated file, in the order of a hash of its lines, and read from it: the last line of a form counts."""
+    path = new_path(spark, "dictionary")
+    line = F.concat_ws("\t", F.coalesce("form", F.lit("")), F.coalesce("lexeme", F.lit("")))
+    load(spark, d, "dictionary").select(line.alias("value")).orderBy(F.md5("value"), "value").coalesce(1).write.text(path)
+    return read_dictionary(spark, path)
+
+
+def term_rows(spark, d):
+    """Word counts and categories written as rows of text, and read from them."""
+    path = new_path(spark, "rows")
+    write_term_rows(*tf_cats(spark, d), path)
+    tf, cats = read_term_rows(spark, path)
+    return tf.select("title", "term", F.col("cnt").cast("string").alias("value")).unionByName(cats.select("title", F.lit(CATEGORY_MARK).alias("term"), F.col("category").alias("value")))
+
+
+def article_folder(spark, d):
+    """Every document written as a file of its own, and read from the folder."""
+    path = new_path(spark, "folder")
+    write_article_folder(articles(spark, d), path)
+    return read_article_folder(spark, path).select("title", F.md5("body").alias("body_md5"))
+
+
+def legacy_links(spark, d):
+    """The links written in the form of the legacy table, and read with its schema."""
+    path = new_path(spark, "legacy")
+    links = load(spark, d, "categorylinks")
+    names = [c.split()[0] for c in CATEGORYLINKS.split(", ")]
+    text = [F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c) if c == "cl_timestamp" else F.col(c).cast("string").alias(c) for c in names]
+    links.select(*text).write.csv(path, nullValue="\\N", escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    back = read_legacy(spark, path, CATEGORYLINKS, multiline=True)
+    return back.select(F.col("cl_id").cast("bigint").alias("cl_id"), F.col("cl_from").cast("bigint").alias("cl_from"), "cl_to", F.date_format("cl_timestamp", "yyyy-MM-dd HH:mm:ss").alias("cl_timestamp"), "cl_type")
+
+
+def overlap_scores(spark, d):
+    """The legacy score of every article's predicted labels."""
+    tf, cats = (cut(x, "counts") for x in tf_cats(spark, d))
+    predicted = evaluate.cv_predict(tf, cats, folded(spark, d)).groupBy(F.col("test").alias("title")).agg(F.collect_set("category").alias("p"))
+    both = features.category_lists(cats).join(predicted, "title")
+    return both.select("title", legacy.overlap_score(F.col("categories"), F.col("p")).alias("score"))
 
 
 QUERIES = {
-    "positional_sample": (positional_sample_, "SELECT doc_id, title FROM documents WHERE doc_id >= 1 AND (doc_id - 1) % 3 = 0 AND doc_id < 3000"),
+    "dense_index": (dense_index, "SELECT doc_id, title, row_number() OVER (ORDER BY doc_id) - 1 AS index FROM documents"),
+    "positional_sample": (positional_sample_, "SELECT * FROM (SELECT doc_id, title, row_number() OVER (ORDER BY doc_id) - 1 AS index FROM documents) WHERE index >= 1 AND (index - 1) % 3 = 0 AND index < 3000"),
+    "dictionary_file": (dictionary_file, """SELECT form, arg_max(lexeme, (md5(form || chr(9) || lexeme), form || chr(9) || lexeme)) AS lexeme
+        FROM (SELECT coalesce(form, '') AS form, coalesce(lexeme, '') AS lexeme FROM dictionary) WHERE form <> '' GROUP BY form"""),
+    "term_rows": (term_rows, f"{_BASE} SELECT title, term, CAST(cnt AS VARCHAR) AS value FROM tf UNION ALL SELECT title, '::Cat', category FROM cats"),
+    "article_folder": (article_folder, "SELECT 'doc_' || doc_id AS title, md5(text) AS body_md5 FROM documents WHERE text <> ''"),
+    "legacy_links": (legacy_links, "SELECT CAST(cl_id AS BIGINT) AS cl_id, CAST(cl_from AS BIGINT) AS cl_from, cl_to, strftime(cl_timestamp, '%Y-%m-%d %H:%M:%S') AS cl_timestamp, cl_type FROM categorylinks"),
+    "overlap_scores": (overlap_scores, f"{_CV}, pp AS (SELECT test AS title, list(DISTINCT category) AS p FROM cp GROUP BY test) SELECT title, len(list_intersect(categories, p)) * 2 / len(categories) * len(p) AS score FROM li JOIN pp USING (title)"),
     "title_sanitize": (title_sanitize, r"""SELECT CAST(page_id AS BIGINT) AS page_id, t AS title, regexp_replace(t, '\.[^.]*$', '') AS base
         FROM (SELECT page_id, replace(translate(page_title, '/\ :', '____'), '"', '') AS t FROM page)"""),
     "upsert_last_wins": (upsert_last_wins, r"""SELECT t AS title, md5(coalesce(arg_max_null(text, doc_id), '')) AS body_md5 FROM (SELECT replace(translate(title, '/\ :', '____'), '"', '') AS t, text, doc_id FROM documents) GROUP BY t"""),

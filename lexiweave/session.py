@@ -62,6 +62,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def has_files(spark: SparkSession, path: str, pattern: str) -> bool:
+    """Whether files in the folder match the pattern."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{pattern}")
+    return len(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p) or []) > 0
+
+
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write df to the shared folder and read it back: ends lineage, survives the loss of executors,
     and gives the planner true sizes."""
@@ -72,10 +78,17 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df over all cores, for work that costs far more than a shuffle of its rows: tables of so few files that
-    cores would stay idle are repartitioned, any larger table is left as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    """df over all cores, for work that costs far more than a shuffle of its rows: tables so small that cores
+    would stay idle are repartitioned, any larger table is left as it is."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # the planner's estimate
+    return df if size >= cores * spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes() else df.repartition(cores)
+
+
+def finished(spark: SparkSession, path: str) -> bool:
+    """Whether the table at path was written to its end."""
+    return exists(spark, f"{path}/_SUCCESS")
 
 
 def at_most(df: DataFrame, rows: int) -> bool:

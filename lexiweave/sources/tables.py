@@ -9,6 +9,7 @@ from .dump import number_rows
 
 #: Fixed value: the marker of category rows in text files of word counts.
 CATEGORY_MARK = "::Cat"
+#: The columns of the score rows and of the legacy tables.
 SCORES = "title string, tp int, fp int, fn int, sensitivity double, precision double, f_measure double"
 CATEGORYLINKS = "cl_id decimal(8), cl_from decimal(8), cl_to string, cl_sortkey string, cl_timestamp timestamp, cl_sortkey_prefix string, cl_collation string, cl_type string"
 PAGES = "page_id decimal(8), page_namespace decimal(11), page_title string, page_restrictions string, page_counter decimal(20), page_is_redirect decimal(1), page_is_new decimal(1), page_random double, page_touched string, page_latest decimal(8), page_len decimal(8), page_no_title_convert decimal(1)"
@@ -56,6 +57,9 @@ def read_folds(spark: SparkSession, path: str, test: int | None = None, train: i
     return d.filter(F.col("fold") != train) if train is not None else d
 
 
-def read_legacy(spark: SparkSession, path: str, schema: str, sep: str = ",") -> DataFrame:
-    """A legacy table exported as text, such as CATEGORYLINKS, PAGES or WORDS."""
-    return spark.read.csv(path, sep=sep, schema=schema, nullValue="\\N")
+def read_legacy(spark: SparkSession, path: str, schema: str, sep: str = ",", multiline: bool = False) -> DataFrame:
+    """A legacy table exported as text, such as CATEGORYLINKS, PAGES or WORDS. multiline: quoted fields may hold line
+    breaks, as sort keys do; a file is then read by one task."""
+    return spark.read.csv(
+        path, sep=sep, schema=schema, nullValue="\\N", emptyValue="", multiLine=multiline, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    )

@@ -109,3 +109,28 @@ def test_streaming_word_count(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {(r.term, r.cnt) for r in spark.table("wc").collect()} == {("ala", 2), ("ma", 1), ("kota", 1)}
+
+
+def test_product_in_blocks_and_with_zeros(spark):
+    """Blocks of two vectors, a term that all share, ties, an article without terms, a query without match."""
+    tf = spark.createDataFrame([(f"a{i}", t, c) for i in range(7) for t, c in (("w", 1), (f"t{i % 3}", 2))], "title string, term string, cnt bigint")
+    cats = spark.createDataFrame([(f"a{i}", "Z") for i in range(7)] + [("empty", "Z")], "title string, category string")
+    queries = tf.filter("title = 'a0'").unionByName(spark.createDataFrame([("q", "nowhere", 1)], tf.schema))
+    near = {(r.query, r.title): round(r.similarity, 9) for r in similarity.similarities(tf, cats, queries).collect()}
+    assert near == {("a0", f"a{i}"): 1.0 if i % 3 == 0 else 0.2 for i in range(7)}
+    whole = {(r.query, r.title): round(r.similarity, 9) for r in similarity.similarities(tf, cats, queries, include_zero=True).collect()}
+    assert len(whole) == 16 and whole[("q", "a1")] == 0 and whole[("a0", "empty")] == 0 and near.items() <= whole.items()
+    v = similarity.sparse_vectors(tf).withColumn("part", F.lit(None).cast("int"))
+    for k in (None, 2):
+        got = similarity.product(v, v, k, block_rows=2)
+        got = knn.top_k(got.withColumnsRenamed({"left": "query", "right": "title"}), k) if k else got.select("*")
+        assert got.count() == (14 if k else 49)
+    assert similarity.product(v.limit(0), v).count() == 0
+
+
+def test_too_many_queries_with_all_articles(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "MOST_QUERIES", 1)
+    tf = spark.createDataFrame([("a", "x", 1), ("b", "x", 1)], "title string, term string, cnt bigint")
+    cats = spark.createDataFrame([("a", "Z")], "title string, category string")
+    with pytest.raises(ValueError):
+        similarity.similarities(tf, cats, tf, include_zero=True)

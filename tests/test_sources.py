@@ -67,9 +67,32 @@ def test_command_line(spark, tmp_path, capsys):
     assert "Kot\tZ" in capsys.readouterr().out
     assert cli.run(["fold", p("counts"), p("folds")], spark) == 0
     assert cli.run(["crossvalidate", p("folds"), p("cv")], spark) == 0
+    assert cli.run(["crossvalidate", "--pairs", p("folds"), p("pairs")], spark) == 0
+    pairs = spark.read.parquet(p("pairs"))
+    assert pairs.columns == ["test", "train", "similarity", "fold"] and pairs.filter("test = train").count() == 0 and pairs.count() > 0
+    (tmp_path / "pipeline.properties").write_text("classifyRepetitions=2\n")
+    assert cli.run(["classify", p("counts"), p("counts"), p("sim"), "--properties", p("pipeline.properties")], spark) == 0
+    assert capsys.readouterr().err.count("neighbours in") == 2
+    assert cli.run(["bestCategories", p("sim"), "2"], spark) == 0
     assert cli.run(["cvscores", p("cv"), p("folds"), p("scores")], spark) == 0
     assert cli.run(["cvaverage", p("scores"), p("avg")], spark) == 0
     assert cli.run(["crossvalidate", "--auto", p("articles"), p("work")], spark) == 0
     assert cli.run(["cvscores", "--auto", p("work")], spark) == 0 and cli.run(["cvscores", "--auto", p("none")], spark) == 1
     assert cli.run(["classify", "--auto", p("articles"), p("articles"), p("auto")], spark) == 0
     assert "Kot\tZ" in capsys.readouterr().out
+
+
+def test_an_interrupted_stage_runs_again(spark, tmp_path):
+    """Word counts without the mark of a finished table are counted again."""
+    (tmp_path / "d.xml").write_text(XML, encoding="utf-8")
+    assert cli.run(["dump", str(tmp_path / "d.xml"), str(tmp_path / "articles"), "--push"], spark) == 0
+    (tmp_path / "work" / "counts" / "cats").mkdir(parents=True)
+    assert cli.run(["crossvalidate", "--auto", str(tmp_path / "articles"), str(tmp_path / "work")], spark) == 0
+    assert (tmp_path / "work" / "counts" / "cats" / "_SUCCESS").exists()
+
+
+def test_article_folder_round_trip(spark, tmp_path):
+    rows = [("A/C", "x"), ("100% ż.txt", None), ("50% ż.txt", "z"), ("a.b.c", "y\n"), ("", "no"), (None, "no")]
+    d = spark.createDataFrame(rows, "title string, body string")
+    assert dump.write_article_folder(d, str(tmp_path / "f")) == 4
+    assert {tuple(r) for r in dump.read_article_folder(spark, str(tmp_path / "f"), strip_extension=False).collect()} == {("A_C", "x"), ("a.b.c", "y\n"), ("50% ż.txt", "z")}
