@@ -9,7 +9,7 @@ from ..session import cut, load
 from .leakage import leaked_passages
 from .mixing import Mix, count_tokens, mix_sources
 from .neighbours import exact_neighbours, nearest_vectors, recall_of, unit_vectors
-from .pii import personal_information
+from .pii import passages, personal_information
 from .subjects import subject_areas
 
 #: The tokenizer file that counts tokens; pass another path on a cluster where it lies elsewhere.
@@ -119,9 +119,8 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = personal_information(load(spark, sf_dir, "documents"), "doc_id", "text")
-    rows = found.select("doc_id", F.explode("found").alias("x"))
-    return rows.select("doc_id", F.col("x.kind").alias("pii_type"), F.col("x.passage").alias("pii_text")).distinct()
+    found = passages(load(spark, sf_dir, "documents"), "doc_id", "text")
+    return found.select("doc_id", F.col("kind").alias("pii_type"), F.col("passage").alias("pii_text")).distinct()
 
 
 def p8_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:

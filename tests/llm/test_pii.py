@@ -1,6 +1,6 @@
 import pytest
 
-from lexiweave.llm.pii import find, identity_card_ok, luhn_ok, mod97_ok, nip_ok, personal_information, pesel_ok
+from lexiweave.llm.pii import find, identity_card_ok, luhn_ok, mod97_ok, nip_ok, passages, personal_information, pesel_ok
 
 CASES = [
     ("Pisz na jan.nowak+x@poczta.example.", [("email", "jan.nowak+x@poczta.example")]),
@@ -64,6 +64,54 @@ UNLABELLED = [
 ]
 
 
+#: None of these given names, and few of these surname endings, are listed.
+BY_CONTEXT = [
+    ("Marek Hłasko był pisarzem", ["Marek Hłasko"]),
+    ("Jan Kowal mieszka tu", ["Jan Kowal"]),
+    ("Napisał Jan Zając.", ["Jan Zając"]),
+    ("To M. Hłasko", ["M. Hłasko"]),
+    ("Autor: Bronisława Nowakowska", ["Bronisława Nowakowska"]),
+    ("Signed: Fatima Haddad", ["Fatima Haddad"]),
+    ("Napisała to Ołena Szewczenko w Kijowie.", ["Ołena Szewczenko"]),
+    ("Rozmowa z Fatimą Haddad trwała.", ["Fatimą Haddad"]),
+    ("Spotkał go Bronisław Malinowski.", ["Bronisław Malinowski"]),
+    ("He met Priya Natarajan yesterday. Kwame Mensah wrote so.", ["Priya Natarajan", "Kwame Mensah"]),
+    ("Die Autorin Ayşe Yılmaz schrieb das, und Frau Nguyen Thi kam.", ["Ayşe Yılmaz", "Nguyen Thi"]),
+    ("Wizyta: George Washington przybył.", ["George Washington"]),  # whoever bears the name
+    ("The monument of George Washington, Washington University, pomnik Jana Kilińskiego", []),
+    ("W Nowym Sączu stoi Zamek Królewski. Rynek Główny mieści Muzeum Narodowe.", []),
+    ("Wielki Tydzień mówi o tym, a Zielona Góra pisze o sobie.", ["Wielki Tydzień"]),  # shape and verb speak for a person, wrongly
+    ("BADACZE NAPISALI: PAN WYPRZEDZA LICZBA", []),
+]
+
+
+@pytest.mark.parametrize("text, want", BY_CONTEXT)
+def test_names_by_shape_and_context(text, want):
+    assert [text[a:b] for a, b, k, _ in find(text) if k == "name"] == want
+
+
+def test_further_forms():
+    for text, want in [
+        ("Adres: Rynek Główny 5, 31-042 Kraków.", [("address", "Rynek Główny 5, 31-042 Kraków")]),
+        ("Hauptmarkt 3, 90403 Nürnberg", [("address", "Hauptmarkt 3, 90403 Nürnberg")]),
+        ("dzwoń +33 6 12 34 56 78.", [("phone", "+33 6 12 34 56 78")]),
+        ("card 4111 1111 1111 1112", [("id_number", "4111 1111 1111 1112")]),
+        ("zapis 4111 1111 1111 1112 tamże", []),
+        ("zapis 4111 1111 1111 1111 tamże", [("id_number", "4111 1111 1111 1111")]),
+        ("konto PL61109010140000071219812875", [("id_number", "PL61109010140000071219812875")]),
+    ]:
+        assert [(k, text[a:b]) for a, b, k, _ in find(text)] == want, text
+
+
+def test_passages_and_redaction_agree(spark):
+    texts = [t for t, _ in [*CASES, *PLAIN, *UNLABELLED, *BY_CONTEXT]] + [f"Adres: {a}." for a in ADDRESSES] + ["zwykłe zdanie o niczym", "", None]
+    d = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    one = {(r.i, r.kind, r.passage) for r in passages(d, "i", "text").collect()}
+    assert one == {(r.i, x.kind, x.passage) for r in personal_information(d, "i", "text").collect() for x in r.found}
+    assert one == {(i, k, t[a:b]) for i, t in enumerate(texts) if t for a, b, k, _ in find(t)}
+    assert passages(d.limit(0), "i", "text").count() == 0
+
+
 @pytest.mark.parametrize("text, want", UNLABELLED)
 def test_names_without_label(text, want):
     assert [text[a:b] for a, b, k, _ in find(text) if k == "name"] == want
