@@ -127,8 +127,8 @@ def leaked_passages(
     stored = items.filter(F.col(item_id).isNotNull()).select(F.col(item_id).cast("bigint").alias("i"), *[plain_words(F.col(p)).alias(f"p{k}") for k, p in enumerate(passages)])
     out, patterns, used = [], {}, 0
 
-    def scan(patterns: dict[bytes, list[int]]) -> DataFrame:
-        shared = docs.sparkSession.sparkContext.broadcast(list(patterns.items()))
+    def scan(patterns: dict[bytes, set[int]]) -> DataFrame:
+        shared = docs.sparkSession.sparkContext.broadcast([(p, sorted(i)) for p, i in patterns.items()])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             machine = WuManber(dict(shared.value))
@@ -149,9 +149,7 @@ def leaked_passages(
     for row in stored.toLocalIterator():
         for p in row[1:]:
             for r in runs(p or "", words):
-                patterns.setdefault(r.encode(), [])
-                if row[0] not in patterns[r.encode()]:
-                    patterns[r.encode()].append(row[0])
+                patterns.setdefault(r.encode(), set()).add(row[0])
                 used += len(r)
         if used > block_bytes * words:
             out, patterns, used = [*out, scan(patterns)], {}, 0

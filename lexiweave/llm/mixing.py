@@ -12,11 +12,13 @@ to the driver (their number is that of the partitions), no source is gathered in
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,11 +46,15 @@ def token_counter(tokenizer: str) -> Callable[[list[str]], list[int]]:
 
 
 def count_tokens(docs: DataFrame, text: str, tokenizer: str) -> DataFrame:
-    """docs with ``n_tokens`` in place of the text: tokens of the whole text. Null and empty texts have 0."""
+    """docs with ``n_tokens`` in place of the text: tokens of the whole text. Null and empty texts have 0.
+
+    tokenizer: a file that the driver can read; it is sent to the executors with the job."""
     rest = [f for f in docs.schema.fields if f.name != text]
+    name = os.path.basename(tokenizer)
+    docs.sparkSession.sparkContext.addFile(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = token_counter(tokenizer)
+        count = token_counter(SparkFiles.get(name))
         for b in batches:
             n = count([x or "" for x in b.column(b.num_columns - 1).to_pylist()])
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(n, pa.int64())], [*(f.name for f in rest), "n_tokens"])
@@ -211,8 +217,10 @@ def mix_sources(
     offsets = spark.createDataFrame([(p, s, n) for (p, s), n in before.items()], "part int, source string, base bigint")
     placed = summed.join(F.broadcast(offsets), ["part", "source"]).join(F.broadcast(info), "source")
     start: Column = F.col("upto") - F.col("n") + F.col("base")
-    placed = placed.withColumn("repeat", F.explode(F.sequence(F.lit(1), F.col("repeats"))))
-    placed = placed.withColumn("at", start + (F.col("repeat") - 1) * F.col("available")).filter("at < wanted")
+    # as often as its place in each further pass over the source is still below what the source is to give
+    times = F.least(F.col("repeats"), F.ceil((F.col("wanted") - F.col("start")) / F.col("available")).cast("int"))
+    placed = placed.withColumn("start", start).filter("start < wanted").withColumn("repeat", F.explode(F.sequence(F.lit(1), times)))
+    placed = placed.withColumn("at", F.col("start") + (F.col("repeat") - 1) * F.col("available")).filter("at < wanted")  # against rounding
     curves = {k: p.knots for k, p in plans.items()}
 
     def position(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

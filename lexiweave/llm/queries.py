@@ -12,7 +12,7 @@ from .neighbours import exact_neighbours, nearest_vectors, recall_of, unit_vecto
 from .pii import passages, personal_information
 from .subjects import subject_areas
 
-#: The tokenizer file that counts tokens; pass another path on a cluster where it lies elsewhere.
+#: The tokenizer file that counts tokens: a path of the driver, from which it is sent to the executors.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
@@ -118,6 +118,34 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_mix(spark, sf_dir).report
 
 
+def p7_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per source with a target: its documents and share, whether no document is repeated too often, and whether the source has its share of
+    the mix, to within one document, or gave every document as often as it may."""
+    mix, targets = corpus_mix(spark, sf_dir), load(spark, sf_dir, "mix_targets").select(F.lower(F.trim("source")).alias("source"), "max_repeats")
+    whole = mix.rows.agg(F.sum("n_tokens").alias("whole"), F.max("n_tokens").alias("largest"))  # one row
+    d = mix.report.join(F.broadcast(targets), "source").join(F.broadcast(whole))
+    reached = F.col("mix_tokens") >= F.col("target_share") * F.col("whole") - F.col("largest")
+    return d.select(
+        "source", "n_documents", F.round("target_share", 9).alias("target_share"), (F.col("max_repeat") <= F.col("max_repeats")).alias("repeats_kept"),
+        (reached | (F.col("mix_tokens") == F.col("n_tokens") * F.col("max_repeats"))).alias("share_or_all"),
+    )
+
+
+P7_LIMITS_SQL = """
+WITH t AS (SELECT lower(trim(source)) source, target_share FROM mix_targets WHERE source IS NOT NULL),
+d AS (SELECT lower(trim(source)) source, count(*) n FROM documents GROUP BY 1)
+SELECT source, coalesce(n, 0) AS n_documents, round(target_share / (SELECT sum(target_share) FROM t), 9) AS target_share, TRUE AS repeats_kept, TRUE AS share_or_all FROM t LEFT JOIN d USING (source)"""
+
+
+def p8_plain_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The e-mail addresses among the passages that are written with an @ between letters, so that SQL can find them too."""
+    return p8_found(spark, sf_dir).filter((F.col("pii_type") == "email") & F.col("pii_text").rlike(r"^[\w.+-]+@[\w.-]+$")).select("doc_id", "pii_text")
+
+
+P8_PLAIN_EMAILS_SQL = r"""
+SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9_][A-Za-z0-9_.+-]*@[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]+)*\.[A-Za-z]{2,}')) AS pii_text FROM documents"""
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = passages(load(spark, sf_dir, "documents"), "doc_id", "text")
     return found.select("doc_id", F.col("kind").alias("pii_type"), F.col("passage").alias("pii_text")).distinct()
@@ -140,6 +168,8 @@ QUERIES = {
     "p6_items": (p6_items, P6_ITEMS_SQL),
     "p7_mix": (p7_mix, None),
     "p7_report": (p7_report, None),
+    "p7_limits": (p7_limits, P7_LIMITS_SQL),
+    "p8_plain_emails": (p8_plain_emails, P8_PLAIN_EMAILS_SQL),
     "p8_found": (p8_found, None),
     "p8_redacted": (p8_redacted, None),
 }

@@ -84,3 +84,14 @@ def test_token_counts(spark):
     ranks = {r.i: r.n_tokens for r in count_tokens(d, "text", "/opt/tokenizers/byte_bpe_50k.tiktoken").collect()}
     assert ranks[1] == ranks[2] == 0 and ranks[0] == 4 or ranks[0] > 2
     assert [ranks[0], ranks[3]] == token_counter("/opt/tokenizers/byte_bpe_50k.json")([texts[0], texts[3]])
+
+
+def test_a_partly_repeated_source(spark):
+    """Of a source wanted one and a half times, half the documents come twice; no other repeat is made."""
+    d = docs(spark, {"a": 100, "b": 40})
+    t = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 9)], T)
+    m = mix_sources(d, t, total_tokens=120 * 7)
+    n = {}
+    for r in m.rows.filter("source = 'b'").collect():
+        n[r.doc_id] = max(n.get(r.doc_id, 0), r.repeat)
+    assert sorted(n.values()) == [1] * 20 + [2] * 20 and m.rows.filter("source = 'a'").count() == 60
