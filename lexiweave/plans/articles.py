@@ -11,6 +11,7 @@ from ..functions.wikitext import CATEGORY, NOISE, TOKEN, base_name, category_nam
 from ..operators import evaluate, features, knn, legacy, similarity
 from ..session import cut, load, new_path, spread
 from ..sources.dump import number_rows, positional_sample, read_article_folder, read_dump, upsert_articles, write_article_folder, write_dump
+from ..streaming.counts import windowed_counts
 from ..sources.tables import CATEGORY_MARK, CATEGORYLINKS, read_dictionary, read_folds, read_legacy, read_term_rows, write_folds, write_term_rows
 
 # ---- shared inputs
@@ -260,7 +261,22 @@ def overlap_scores(spark, d):
     return both.select("title", legacy.overlap_score(F.col("categories"), F.col("p")).alias("score"))
 
 
+def stream_weeks(spark, d):
+    """Articles and tokens by week of revision, from a stream over the documents; weeks that the stream has not closed are still open."""
+    source, out = new_path(spark, "arriving"), new_path(spark, "weeks")
+    at = F.to_timestamp(F.date_format("rev_ts", "yyyy-MM-dd HH:mm:ss'Z'"), "yyyy-MM-dd HH:mm:ssX")  # times without zone as UTC
+    load(spark, d, "documents").select("text", at.alias("at")).withColumnRenamed("text", "body").write.parquet(source)
+    arriving = spark.readStream.schema("body string, at timestamp").parquet(source)
+    weeks = windowed_counts(arriving, "at", "7 days", "1 day")
+    run = weeks.writeStream.format("parquet").option("path", out).option("checkpointLocation", new_path(spark, "stream")).outputMode("append").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema(weeks.schema).parquet(out).select(F.unix_timestamp("start").alias("week"), "n_articles", F.col("n_tokens").cast("bigint").alias("n_tokens"))
+
+
 QUERIES = {
+    "stream_weeks": (stream_weeks, f"""WITH x AS (SELECT CAST(floor(epoch(date_trunc('second', rev_ts)) / 604800) * 604800 AS BIGINT) AS week, date_trunc('second', rev_ts) AS ts,
+        len(regexp_extract_all(regexp_replace(regexp_replace(coalesce(text, ''), '{_q(NOISE)}', '', 'g'), '{_q(CATEGORY)}', '', 'g'), '{_q(TOKEN)}')) AS n FROM documents WHERE rev_ts IS NOT NULL)
+        SELECT week, count(*) AS n_articles, CAST(sum(n) AS BIGINT) AS n_tokens FROM x GROUP BY week HAVING week + 604800 <= (SELECT max(epoch(ts)) FROM x) - 86400"""),
     "dense_index": (dense_index, "SELECT doc_id, title, row_number() OVER (ORDER BY doc_id) - 1 AS index FROM documents"),
     "positional_sample": (positional_sample_, "SELECT * FROM (SELECT doc_id, title, row_number() OVER (ORDER BY doc_id) - 1 AS index FROM documents) WHERE index >= 1 AND (index - 1) % 3 = 0 AND index < 3000"),
     "dictionary_file": (dictionary_file, """SELECT form, arg_max(lexeme, (md5(form || chr(9) || lexeme), form || chr(9) || lexeme)) AS lexeme

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 
 _shipped: set[str] = set()
+_local: dict[str, str] = {}
 
 
 def ship(spark: SparkSession) -> None:
@@ -43,8 +44,10 @@ def scratch_root(spark: SparkSession) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="lexiweave-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        app = spark.sparkContext.applicationId  # the setting can't be changed in a running session
+        if app not in _local:
+            _local[app] = tempfile.mkdtemp(prefix="lexiweave-")
+        root = _local[app]
     return root.rstrip("/")
 
 
