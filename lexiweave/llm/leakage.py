@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 BLOCK = 8
 TABLE_BITS = 20
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -119,7 +121,7 @@ def leaked_passages(
     Null and empty texts, passages that are null or have fewer words, and empty tables give no case;
     repeated rows give one case; items that share a passage are all reported; other columns are
     ignored. Whole texts are searched. The test items are the query set: they are read in blocks of
-    about block_bytes of text, and the corpus is scanned once for each block, so the size of what is
+    about block_bytes of text, and the corpus is scanned once for each block (its words are written once if there are several), so the size of what is
     sent to the tasks is bounded whatever the number of items.
     """
     id_type = docs.schema[doc_id].dataType
@@ -127,7 +129,7 @@ def leaked_passages(
     stored = items.filter(F.col(item_id).isNotNull()).select(F.col(item_id).cast("bigint").alias("i"), *[plain_words(F.col(p)).alias(f"p{k}") for k, p in enumerate(passages)])
     out, patterns, used = [], {}, 0
 
-    def scan(patterns: dict[bytes, set[int]]) -> DataFrame:
+    def scan(corpus: DataFrame, patterns: dict[bytes, set[int]]) -> DataFrame:
         shared = docs.sparkSession.sparkContext.broadcast([(p, sorted(i)) for p, i in patterns.items()])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,9 +154,11 @@ def leaked_passages(
                 patterns.setdefault(r.encode(), set()).add(row[0])
                 used += len(r)
         if used > block_bytes * words:
-            out, patterns, used = [*out, scan(patterns)], {}, 0
+            if not out:  # there will be further scans: the words are written once
+                corpus = cut(corpus, "words")
+            out, patterns, used = [*out, scan(corpus, patterns)], {}, 0
     if patterns or not out:
-        out.append(scan(patterns) if patterns else docs.select(doc_id, F.lit(0).cast("bigint").alias(item_id)).limit(0))
+        out.append(scan(corpus, patterns) if patterns else docs.select(doc_id, F.lit(0).cast("bigint").alias(item_id)).limit(0))
     result = out[0]
     for d in out[1:]:
         result = result.unionByName(d)
