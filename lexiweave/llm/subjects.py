@@ -39,13 +39,14 @@ UPKEEP = ["artykuły", "hasła", "wpisy", "strony", "zalążki", "szablony", "ar
 @dataclass(frozen=True)
 class Settings:
     """labelled: at most so many labelled documents train the model (those with the smallest hash of
-    their id), in at most ``shards`` partitions, one for each ``per_shard`` documents. Training ends after ``patience`` steps without a lower loss on
-    the held-out documents, or after ``steps``."""
+    their id), in at most ``shards`` partitions, one for each ``per_shard`` documents. Training ends when, after ``least`` steps, ``patience`` steps
+    bring no lower loss on the held-out documents, or after ``steps``."""
 
     labelled: int = 8000
     buckets: int = 1 << 15
     size: int = 16
     steps: int = 60
+    least: int = 12
     patience: int = 4
     rate: float = 0.1
     shards: int = 8
@@ -233,9 +234,10 @@ def train(sentences: DataFrame, subjects: list[str], s: Settings, shards: int) -
         losses.append(float(sums[3][0]) / total)
         if held_out:
             held.append(float(sums[3][1]) / held_out)
-            if held[-1] == min(held):
+            late = held[s.least - 1 :]  # a few held-out sentences say little about the first steps
+            if not late or late[-1] == min(late):
                 best = params
-            elif len(held) - held.index(min(held)) > s.patience:
+            elif len(late) - late.index(min(late)) > s.patience:
                 break
         else:
             best = params
