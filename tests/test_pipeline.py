@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -134,3 +135,38 @@ def test_too_many_queries_with_all_articles(spark, monkeypatch):
     cats = spark.createDataFrame([("a", "Z")], "title string, category string")
     with pytest.raises(ValueError):
         similarity.similarities(tf, cats, tf, include_zero=True)
+
+
+def test_cv_pairs_never_travel(spark):
+    """A vector is stored once for all pairs of blocks, and no exchange or join follows the pairs."""
+    tf = spark.createDataFrame([(f"d{i}", t, 1) for i in range(40) for t in ("w", f"t{i % 3}")], TF)
+    cats = spark.createDataFrame([(f"d{i}", "Z") for i in range(40)], "title string, category string")
+    pairs = evaluate.cv_pairs(tf, cats, evaluate.assign_folds(tf.select("title").distinct()))
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "SortMergeJoin" not in plan
+    fold = {r.title: r.fold for r in evaluate.assign_folds(tf.select("title").distinct()).collect()}
+    expected = {(fold[a], a, b, 1.0 if int(a[1:]) % 3 == int(b[1:]) % 3 else 0.5) for a in fold for b in fold if fold[a] != fold[b]}
+    assert {(r.fold, r.test, r.train, round(r.similarity, 9)) for r in pairs.collect()} == expected
+
+
+def test_product_of_rare_and_frequent_terms(spark, monkeypatch):
+    """The dense part, the postings and large counts give the same exact sums."""
+    rng = random.Random(5)
+    counts = {(f"d{i}", f"w{int(rng.paretovariate(0.8)) % 60}"): rng.choice((1, 2, 5, 90_000)) for i in range(60) for _ in range(15)}
+    tf = spark.createDataFrame([(*x, c) for x, c in counts.items()], TF)
+    v = similarity.sparse_vectors(tf).withColumn("part", F.lit(None).cast("int"))
+    of = {}
+    for (title, term), c in counts.items():
+        of.setdefault(title, {})[term] = c
+    norm = {t: math.sqrt(sum(c * c for c in x.values())) for t, x in of.items()}
+    exact = {(s, t): sum(c * of[t].get(w, 0) for w, c in of[s].items()) / (norm[s] * norm[t]) for s in of for t in of}
+    for dense, most in ((0.0, 1024), (0.2, 3), (1.0, 0)):
+        monkeypatch.setattr(similarity, "DENSE", dense)
+        monkeypatch.setattr(similarity, "MOST_DENSE", most)
+        a, b = (next(similarity.pack(iter(v.select("title", "v", "part", "q").toArrow().to_batches()))).column(0)[0].as_buffer() for _ in range(2))
+        for k in (None, 3):
+            got = [(r["left"], r["right"], r["similarity"]) for x in similarity.compare(similarity.pickle.loads(a), similarity.pickle.loads(b), k, False) for r in x.to_pylist()]
+            best = {(s, t): x for (s, t), x in exact.items() if x > 0}
+            if k:
+                best = {p: best[p] for s in of for p in sorted((p for p in best if p[0] == s), key=lambda p: (-best[p], p[1]))[:k]}
+            assert {(s, t): x for s, t, x in got} == best
