@@ -170,3 +170,13 @@ def test_product_of_rare_and_frequent_terms(spark, monkeypatch):
             if k:
                 best = {p: best[p] for s in of for p in sorted((p for p in best if p[0] == s), key=lambda p: (-best[p], p[1]))[:k]}
             assert {(s, t): x for s, t, x in got} == best
+
+
+def test_any_number_of_queries_with_all_articles(spark):
+    """More queries than were once allowed; the categories are not joined to the pairs if they are not wanted."""
+    tf = spark.createDataFrame([("a", "x", 1), ("b", "y", 1)], TF)
+    cats = spark.createDataFrame([("a", "Z"), ("b", "Z")], "title string, category string")
+    queries = spark.range(10_001).selectExpr("concat('q', id) AS title", "if(id % 2 = 0, 'x', 'z') AS term", "1L AS cnt")
+    whole = similarity.similarities(tf, cats, queries, include_zero=True, categories=False)
+    assert whole.columns == ["query", "title", "similarity"] and "SortMergeJoin" not in whole._jdf.queryExecution().executedPlan().toString()
+    assert {(r.title, r.similarity): r["count"] for r in whole.groupBy("title", "similarity").count().collect()} == {("a", 1.0): 5001, ("a", 0.0): 5000, ("b", 0.0): 10_001}
