@@ -163,7 +163,7 @@ def test_product_of_rare_and_frequent_terms(spark, monkeypatch):
     for dense, most in ((0.0, 1024), (0.2, 3), (1.0, 0)):
         monkeypatch.setattr(similarity, "DENSE", dense)
         monkeypatch.setattr(similarity, "MOST_DENSE", most)
-        a, b = (next(similarity.pack(iter(v.select("title", "v", "part", "q").toArrow().to_batches()))).column(0)[0].as_buffer() for _ in range(2))
+        a, b = (next(similarity.pack(iter(v.select("title", "v", "part", "q", F.lit(0).alias("block")).toArrow().to_batches()))).column("data")[0].as_buffer() for _ in range(2))
         for k in (None, 3):
             got = [(r["left"], r["right"], r["similarity"]) for x in similarity.compare(similarity.pickle.loads(a), similarity.pickle.loads(b), k, False) for r in x.to_pylist()]
             best = {(s, t): x for (s, t), x in exact.items() if x > 0}
@@ -180,3 +180,22 @@ def test_any_number_of_queries_with_all_articles(spark):
     whole = similarity.similarities(tf, cats, queries, include_zero=True, categories=False)
     assert whole.columns == ["query", "title", "similarity"] and "SortMergeJoin" not in whole._jdf.queryExecution().executedPlan().toString()
     assert {(r.title, r.similarity): r["count"] for r in whole.groupBy("title", "similarity").count().collect()} == {("a", 1.0): 5001, ("a", 0.0): 5000, ("b", 0.0): 10_001}
+
+
+def test_blocks_meet_once_for_both_directions(spark, monkeypatch):
+    """One set on both sides: the same neighbours as for two sets, ties and folds included, from half of the pairs of blocks."""
+    rng = random.Random(7)
+    rows = {(f"d{i}", f"w{int(rng.paretovariate(0.7)) % 30}"): rng.randint(1, 3) for i in range(150) for _ in range(6)}
+    tf = spark.createDataFrame([(*x, c) for x, c in rows.items()], TF)
+    titles = tf.select("title").distinct()
+    folds, other = evaluate.assign_folds(titles), titles.select("title")
+    for k in (1, 2, 5):
+        one = similarity.nearest_articles(tf, folds, titles, titles, k, block_rows=40)
+        two = similarity.nearest_articles(tf, folds, titles, other, k, block_rows=40)
+        assert "(i#" in one._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect()))
+    monkeypatch.setattr(similarity, "TILE", 64)
+    a, b = (next(similarity.pack(iter(similarity.sparse_vectors(tf).filter(f"title {s} 'd5'").selectExpr("title", "v", "-1 AS part", "q", "0 AS block").toArrow().to_batches()))).column("data")[0].as_buffer() for s in ("<", ">="))
+    a, b = similarity.pickle.loads(a), similarity.pickle.loads(b)
+    got = [tuple(r.values()) for x in similarity.compare(a, b, 2, False, both=True) for r in x.to_pylist()]
+    assert sorted(got, key=str) == sorted((tuple(r.values()) for one, other in ((a, b), (b, a)) for x in similarity.compare(one, other, 2, False) for r in x.to_pylist()), key=str)
