@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lexiweave.config import Settings
 from lexiweave.operators import evaluate, features, knn, legacy, similarity
+from lexiweave.plans import articles
 from lexiweave.streaming.counts import arriving_articles, running_term_frequencies
 
 TF = "title string, term string, cnt bigint"
@@ -199,3 +200,58 @@ def test_blocks_meet_once_for_both_directions(spark, monkeypatch):
     a, b = similarity.pickle.loads(a), similarity.pickle.loads(b)
     got = [tuple(r.values()) for x in similarity.compare(a, b, 2, False, both=True) for r in x.to_pylist()]
     assert sorted(got, key=str) == sorted((tuple(r.values()) for one, other in ((a, b), (b, a)) for x in similarity.compare(one, other, 2, False) for r in x.to_pylist()), key=str)
+
+
+def disk(spark, run):
+    """Bytes that run() shuffles and stores."""
+    spark.sparkContext.setJobGroup("disk", "disk")
+    try:
+        run()
+    finally:
+        spark.sparkContext._jsc.sc().clearJobGroup()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    store, tracker = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext.statusTracker()
+    stages = [store.lastStageAttempt(i) for i in {i for j in tracker.getJobIdsForGroup("disk") for i in tracker.getJobInfo(j).stageIds}]
+    return sum(x.shuffleWriteBytes() + x.outputBytes() for x in stages)
+
+
+@pytest.fixture(scope="session")
+def many_documents(spark, tmp_path_factory):
+    """Documents of words of a small vocabulary in eight files, and their size."""
+    path = tmp_path_factory.mktemp("many")
+    rng = random.Random(11)
+    words = ["".join(rng.choices("abcdefghijklmnoprstuwyz", k=7)) for _ in range(3000)]
+    rows = [(i, " ".join(words[int(rng.paretovariate(0.6)) % 3000] for _ in range(150)) + ("\n[[Kategoria:K]]" if i % 2 else "")) for i in range(4000)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").repartition(8).write.parquet(f"{path}/documents.parquet")
+    return str(path), sum(f.stat().st_size for f in path.rglob("*.parquet"))
+
+
+def test_cosine_to_query_disk(spark, many_documents):
+    """What is shuffled and stored beside the result stays below twice the input; it was several times that."""
+    path, size = many_documents
+    frames = []
+    used = disk(spark, lambda: frames.append(articles.cosine_to_query(spark, path)))
+    assert used < 2 * size
+    assert frames[0].count() == 80 * 2000
+
+
+def test_article_product_of_odd_articles(spark, monkeypatch):
+    """Rows of one title are one article, whichever of them has the category; null and empty titles and texts; blocks that turn out larger than planned."""
+    rng = random.Random(13)
+    text = [" ".join(f"w{'abcdefgh'[int(rng.paretovariate(0.8)) % 8]}x" for _ in range(rng.randint(0, 9))) for _ in range(60)]
+    rows = [(f"d{i % 40}", x + (" [[Kategoria:K]]" if i % 3 == 0 else "")) for i, x in enumerate(text)]
+    rows += [("null", None), ("none", "[[Kategoria:K]]"), (None, "wax [[Kategoria:K]]"), ("", "wax [[Kategoria:K]]")]
+    a = spark.createDataFrame(rows, "title string, body string").repartition(5).withColumns({"part": F.lit(None).cast("int"), "query": F.col("title").rlike("[05]$|n")})
+    tf, cats = features.term_frequencies(a), features.article_categories(a)
+    queries = tf.join(a.filter("query").select("title").distinct(), "title", "left_semi")
+    for most in (16384, 3):
+        monkeypatch.setattr(similarity, "BLOCK_TERMS", 4_000_000 if most > 3 else 10)
+        for zeros in (True, False):
+            expected = sorted((r.query, r.title, r.similarity) for r in similarity.similarities(tf, cats, queries, include_zero=zeros).collect())
+            got = sorted((r.left, r.right, r.similarity) for r in similarity.article_product(a, zeros, most).collect())
+            assert got == expected and len(got) > 100
+        both = similarity.article_product(a.withColumn("part", (F.crc32("title") % 3).cast("int")).drop("query"), block_rows=most)
+        folds = a.select("title", ((F.crc32("title") % 3).cast("int")).alias("fold")).filter("title <> ''").distinct()
+        expected = sorted(tuple(r) for r in evaluate.cv_pairs(tf, cats, folds).collect())
+        assert sorted((r.part, r.left, r.right, r.similarity) for r in both.collect()) == expected and len(expected) > 100
+    assert similarity.article_product(a.limit(0)).count() == 0
