@@ -235,6 +235,16 @@ def test_cosine_to_query_disk(spark, many_documents):
     assert frames[0].count() == 80 * 2000
 
 
+def test_cv_pairs_disk(spark, many_documents):
+    """What is shuffled and stored beside the pairs stays below twice the input; it was several times that."""
+    path, size = many_documents
+    frames = []
+    used = disk(spark, lambda: frames.append(articles.cv_pairs(spark, path)))
+    assert used < 2 * size
+    fold = [r.n for r in articles.folded(spark, path).filter("substring(title, 5) % 2 = 1").groupBy("fold").agg(F.count("*").alias("n")).collect()]
+    assert frames[0].count() == 2000 * 2000 - sum(n * n for n in fold)
+
+
 def test_article_product_of_odd_articles(spark, monkeypatch):
     """Rows of one title are one article, whichever of them has the category; null and empty titles and texts; blocks that turn out larger than planned."""
     rng = random.Random(13)
